@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchfold.llm import exact
+from watchfold.llm import exact, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op8_exact_dedup": op8_exact_dedup,
+}
