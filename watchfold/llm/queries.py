@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from watchfold.llm import bpe, exact, packing, simhash
+from watchfold.llm import bpe, exact, packing, simhash, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_token_file": op10_token_file,
 }
