@@ -7,8 +7,8 @@ of an ended group are equal byte for byte, so no digest decides anything.
 
 Each round is two plain shuffles.  The group sizes are a partial aggregate, so a
 group with a third of the corpus costs one row per task; the rows are then
-joined with their group's size, a sort-merge join whose hot partitions adaptive
-execution splits.  Only members of groups that are still open carry the rest of
+joined with the sizes of the groups of two or more, a sort-merge join whose hot
+partitions adaptive execution splits.  Only members of groups that are still open carry the rest of
 their text to the next round.
 """
 
@@ -38,13 +38,15 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> tuple
     open_rows, digit, done, level = first.drop("doc"), FIRST, [], 0
     while True:
         keyed = open_rows.select("*", F.substring("rest", 1, digit).alias("digit"))
-        groups = keyed.groupBy("group", "digit").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("top"))
+        groups = keyed.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("top"))
+        # Written, so that the join's exchanges stand alone and its hot partitions can be split.
+        groups = scratch.write(f"groups{level}", groups.where("n > 1"))
         ended = F.length("rest") < digit
-        split = keyed.join(groups, ["group", "digit"]).select(
-            "id", "row", "sha", col("top.row").alias("group"), col("top.id").alias("keep_id"), "n",
-            (ended | (col("n") == 1)).alias("done"),
-            F.when(~ended & (col("n") > 1), F.expr(f"substring(rest, {digit + 1})")).alias("rest"))
+        alone = col("n").isNull()
+        split = keyed.join(groups, ["group", "digit"], "left").select(
+            "id", "row", "sha", F.when(alone, col("row")).otherwise(col("top.row")).alias("group"),
+            F.when(alone, col("id")).otherwise(col("top.id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("n"),
+            (ended | alone).alias("done"), F.when(~ended & ~alone, F.expr(f"substring(rest, {digit + 1})")).alias("rest"))
         level += 1
         split = scratch.write(f"level{level}", split)
         if level == 1 and not whole:
