@@ -194,7 +194,8 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col:
         F.max("page_id").alias("response"), F.count(lit(1)).alias("n")).where("n > 1").select("digest", "bytes", "response")
     # Written, so that the join's exchanges stand alone and its hot partitions can be split.
     copies = scratch.write("copies", copies)
-    joined = rows.withColumn("bytes", F.length("payload")).join(copies.withColumn("copied", lit(True)), ["digest", "bytes"], "left")
+    joined = rows.withColumn("bytes", F.length("payload")).join(
+        copies.withColumn("copied", lit(True)).hint("merge"), ["digest", "bytes"], "left")
     revisit = coalesce(col("copied") & ~col("page_id").eqNullSafe(col("response")), lit(False))
     ready = joined.select("page_id", "url", "payload", "digest", "response", revisit.alias("revisit"))
     folder = f"{scratch.path}/archive"
