@@ -43,7 +43,7 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> tuple
         groups = scratch.write(f"groups{level}", groups.where("n > 1"))
         ended = F.length("rest") < digit
         alone = col("n").isNull()
-        split = keyed.join(groups, ["group", "digit"], "left").select(
+        split = keyed.join(groups.hint("merge"), ["group", "digit"], "left").select(
             "id", "row", "sha", F.when(alone, col("row")).otherwise(col("top.row")).alias("group"),
             F.when(alone, col("id")).otherwise(col("top.id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("n"),
             (ended | alone).alias("done"), F.when(~ended & ~alone, F.expr(f"substring(rest, {digit + 1})")).alias("rest"))
