@@ -73,7 +73,7 @@ class Forest:
 
 def hash_strings(vectors: np.ndarray, planes: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """(trees, rows): the first bit of a string is its highest."""
-    side = ((vectors - centre) @ planes.T > 0).reshape(len(vectors), -1, BITS)
+    side = ((vectors - centre) @ planes.T > 0).reshape(len(vectors), TREES, BITS)
     weight = (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64))
     return np.ascontiguousarray((side * weight).sum(axis=2, dtype=np.uint64).T)
 
