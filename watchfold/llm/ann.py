@@ -22,9 +22,9 @@ from pyspark.sql.functions import col
 
 from watchfold.shared import Scratch
 
-TREES = 48
+TREES = 64
 BITS = 48
-ENOUGH = 1.2
+ENOUGH = 1.1
 SHARD = 16_384
 QUERIES = 4096
 #: Rows that the centre of the hyperplanes is fit on, at most.
