@@ -5,7 +5,7 @@ read alone.  For each id three orders predict:
 
 * order 2: the id last seen after a hash of the two previous ids,
 * order 1: the id last seen after a hash of the previous id,
-* order 0: the frequencies of ids, as 64 classes of about equal weight whose
+* order 0: the frequencies of ids, as 16 classes of about equal weight whose
   counts adapt within the block, and each class's ids by the frequencies in the
   header.
 
@@ -28,12 +28,14 @@ import numpy as np
 
 BLOCK = 2048
 LANES = 4096
-CLASSES = 64
+CLASSES = 16
 SLOT_BITS = 10
 SETS = 32
 REBUILD = 32
 _MIX_BITS, _CLASS_BITS = 15, 16
 _U64 = np.uint64
+#: What a weight grows by when its order was right.
+_STEP = np.array([24, 24 << 20, 24 << 40], np.int64)
 
 
 class Frequencies:
@@ -77,19 +79,21 @@ class _Model:
     def __init__(self, lanes: int, freq: Frequencies):
         slots = lanes << SLOT_BITS
         self.freq, self.lane = freq, np.arange(lanes, dtype=np.int64)
-        self.sets = 3 * SETS * self.lane
+        self.sets = SETS * self.lane
         # A slot holds the id last seen, times 4, plus how often it has just held, 3 at most (0: none yet).
         self.slots = [np.zeros(slots, np.int32), np.zeros(slots, np.int32)]
-        first = np.array([[24 * k2 * k2, 0 if agree else 12 * k1, 64] for k2 in range(4) for k1 in range(4) for agree in (0, 1)], np.int32)
-        self.weights = np.tile(first, (lanes, 1)).ravel()
+        # A set's three weights, order 2 lowest, in one number of 20 bits each.
+        first = np.array([24 * k2 * k2 + ((0 if agree else 12 * k1) << 20) + (64 << 40) for k2 in range(4) for k1 in range(4) for agree in (0, 1)], np.int64)
+        self.weights = np.tile(first, lanes)
         self.class_count = np.full((lanes, CLASSES), 4, np.int32)
         self.one = np.zeros(lanes, np.uint32)
         self.two = np.zeros(lanes, np.uint32)
         self.rebuild()
 
     def rebuild(self):
-        self.cum = np.zeros((len(self.lane), CLASSES + 1), np.int32)
-        np.cumsum(self.class_count, axis=1, out=self.cum[:, 1:])
+        cum = np.zeros((len(self.lane), CLASSES + 1), np.int32)
+        np.cumsum(self.class_count, axis=1, out=cum[:, 1:])
+        self.cum = cum.ravel()  # of lane i from i * (CLASSES + 1)
 
     def predict(self, n: int):
         """For the first n lanes: both predictions, and the widths of their parts of the range."""
@@ -98,22 +102,25 @@ class _Model:
         self.c1 = base + (h >> np.uint32(32 - SLOT_BITS))
         h += self.two[:n] * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
         self.c2 = base + (h >> np.uint32(32 - SLOT_BITS))
-        one, two = self.slots[0][self.c1], self.slots[1][self.c2]
+        one, two = self.slots[0].take(self.c1), self.slots[1].take(self.c2)
         self.k1, self.k2, self.p1, self.p2 = one & 3, two & 3, one >> 2, two >> 2
         agree = (self.p1 == self.p2) & (np.minimum(self.k1, self.k2) > 0)
-        self.w = self.sets[:n] + 3 * (self.k2 * 8 + self.k1 * 2 + agree)
-        w2, w1 = self.weights[self.w], self.weights[self.w + 1]
-        total = w2 + w1 + self.weights[self.w + 2]
+        self.w = self.sets[:n] + (self.k2 * 8 + self.k1 * 2 + agree)
+        self.now = now = self.weights.take(self.w)
+        w2, w1 = now & 0xFFFFF, now >> 20 & 0xFFFFF
+        total = w2 + w1 + (now >> 40)
         f2 = (w2 << _MIX_BITS) // total
         return f2, (w1 << _MIX_BITS) // total
 
     def update(self, ids: np.ndarray, which: np.ndarray):
         """which: 0 where order 2 was right, 1 where only order 1 was, 2 where order 0 gave the id."""
         n = len(ids)
-        self.weights[self.w + which] += 24
-        full = np.flatnonzero(self.weights[self.w + which] > 3000)
-        for j in range(3) if len(full) else ():
-            self.weights[self.w[full] + j] = (self.weights[self.w[full] + j] + 1) >> 1
+        now = self.now + _STEP.take(which)
+        full = np.flatnonzero((now >> 40) + (now >> 20 & 0xFFFFF) + (now & 0xFFFFF) > 4000)
+        if len(full):  # halve each, a weight above zero to one at least
+            old = now[full]
+            now[full] = sum(((old >> k & 0xFFFFF) + 1 >> 1) << k for k in (0, 20, 40))
+        self.weights[self.w] = now
         slot = (ids << 2) + 1
         for slots, k, at, pred in ((self.slots[0], self.k1, self.c1, self.p1), (self.slots[1], self.k2, self.c2, self.p2)):
             slots[at] = slot + (pred == ids) * np.minimum(k, 2)
@@ -177,8 +184,8 @@ class _Decoder:
 
 def _part(which, f2, f1):
     """Start and width of each one's part of the mixture: order 2, order 1, order 0."""
-    both = f2 + f1
-    return np.choose(which, (0, f2, both)), np.choose(which, (f2, f1, (1 << _MIX_BITS) - both))
+    both, zero, one = f2 + f1, which == 0, which == 1
+    return np.where(zero, 0, np.where(one, f2, both)), np.where(zero, f2, np.where(one, f1, (1 << _MIX_BITS) - both))
 
 
 def encode(ids: np.ndarray, freq: Frequencies) -> list[bytes]:
@@ -199,10 +206,11 @@ def encode(ids: np.ndarray, freq: Frequencies) -> list[bytes]:
         if len(esc := np.flatnonzero(which == 2)):
             k = freq.of[sym[esc]]
             c = freq.classes[k]
-            low, high = model.cum[esc, c], model.cum[esc, c + 1]
-            coder.put(esc, low, high - low, coder.range[esc] // model.cum[esc, CLASSES].astype(_U64))
+            at = esc * (CLASSES + 1)
+            low, high = model.cum.take(at + c), model.cum.take(at + c + 1)
+            coder.put(esc, low, high - low, coder.range[esc] // model.cum.take(at + CLASSES).astype(_U64))
             coder.put(esc, freq.start[k], freq.share[k], coder.range[esc] >> _U64(_CLASS_BITS))
-            model.class_count[esc, c] += 8
+            model.class_count.ravel()[esc * CLASSES + c] += 8
         if t % REBUILD == REBUILD - 1:
             model.rebuild()
         model.update(sym, which)
@@ -229,19 +237,22 @@ def decode(payloads: list[bytes], n_ids: int, freq: Frequencies) -> np.ndarray:
         coder.take(lane, start, width, unit)
         sym = np.where(which == 0, model.p2, model.p1)
         if len(esc := np.flatnonzero(which == 2)):
-            unit = coder.range[esc] // model.cum[esc, CLASSES].astype(_U64)
-            slot = np.minimum((coder.code[esc] // unit).astype(np.int64), model.cum[esc, CLASSES] - 1)
-            c = np.zeros(len(esc), np.int64)
-            for jump in (32, 16, 8, 4, 2, 1):
-                c = np.where(model.cum[esc, c + jump] <= slot, c + jump, c)
-            low, high = model.cum[esc, c], model.cum[esc, c + 1]
+            at = esc * (CLASSES + 1)
+            all_classes = model.cum.take(at + CLASSES)
+            unit = coder.range[esc] // all_classes.astype(_U64)
+            slot = np.minimum((coder.code[esc] // unit).astype(np.int64), all_classes - 1)
+            c = at.copy()
+            for jump in (8, 4, 2, 1):
+                c += jump * (model.cum.take(c + jump) <= slot)
+            low, high = model.cum.take(c), model.cum.take(c + 1)
+            c -= at
             coder.take(esc, low, high - low, unit)
             unit = coder.range[esc] >> _U64(_CLASS_BITS)
             slot = np.minimum((coder.code[esc] // unit).astype(np.int64), (1 << _CLASS_BITS) - 1)
             k = np.searchsorted(freq.edges, ((c << _CLASS_BITS) + slot).astype(np.int32), "right") - 1
             coder.take(esc, freq.start[k], freq.share[k], unit)
             sym[esc] = freq.ids[k]
-            model.class_count[esc, c] += 8
+            model.class_count.ravel()[esc * CLASSES + c] += 8
         if t % REBUILD == REBUILD - 1:
             model.rebuild()
         model.update(sym, which)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from watchfold.llm import ann, bpe, exact, packing, secrets, simhash, tokenfile, toxicity, warc
+from watchfold.llm import ann, bpe, exact, lm, packing, secrets, simhash, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.log_likelihoods(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_language_model": op5_language_model,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,

@@ -42,14 +42,27 @@ class WordTokenizer:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.table = PieceTable(self._encode_pieces, self.dtype)
+        # Where a suffix marks the last token of a piece, many pieces can be encoded as one text and told apart after.
+        suffix = rules["model"].get("end_of_word_suffix")
+        self.last = np.zeros(size, bool)
+        if suffix:
+            self.last[[i for token, i in rules["model"]["vocab"].items() if token.endswith(suffix)]] = True
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, count = [], []
-        for at in range(0, len(pieces), 20_000):
-            for e in self.library.encode_batch_fast(pieces[at:at + 20_000], add_special_tokens=False):
-                ids += (own := e.ids)
-                count.append(len(own))
-        return np.array(ids, self.dtype), np.array(count, np.int64)
+        for at in range(0, len(pieces), 1000):
+            own, n = self._encode_together(pieces[at:at + 1000])
+            ids.append(own)
+            count.append(n)
+        return np.concatenate(ids), np.concatenate(count)
+
+    def _encode_together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(pieces) and (not len(ends) or ends[-1] == len(ids)):
+            return ids, np.diff(ends, prepend=0)
+        each = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for own in each for i in own], self.dtype), np.array([len(own) for own in each], np.int64)
 
     def encode(self, texts: list[str]):
         """Id arrays of whole texts, one for each; a missing text is empty."""
