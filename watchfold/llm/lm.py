@@ -33,28 +33,31 @@ from pyspark.sql.functions import coalesce, col, lit
 from watchfold.shared import Scratch
 
 VOCABULARY = 4096
-HEAD = 200_000
+HEAD = 500_000
 HIDDEN = 16
 CLASSES = 48
-WINDOW = 16
+WINDOW = 32
 LANES = 512
 ROUNDS = 3
 RATE = 0.1
 PIECES = 16
 #: Distinct words that a counting task holds, and documents that are scored side by side.
 DISTINCT = 400_000
-SCORED = 2048
+SCORED = 1024
 #: The end of a document; no word is empty.
 END = b""
 
 
 class Model:
-    """The weights: rows of ``x`` are what each input adds to the gates, ``u`` what the state adds."""
+    """The weights: rows of ``x`` are what each input adds to the gates, ``u`` what the state adds.
 
-    NAMES = ("x", "u", "class_w", "class_b", "word_w", "word_b")
+    ``classes`` and ``words`` give the logits; their last row and column are biases, which meet a state's constant one.
+    """
+
+    NAMES = ("x", "u", "classes", "words")
 
     def __init__(self, counts: np.ndarray, rare: int, seed: int = 3):
-        """counts: of the vocabulary's tokens, most frequent first; rare: of all others together."""
+        """counts: of the vocabulary's tokens, the end and then the most frequent first; rare: of all others together."""
         rng, k = np.random.default_rng(seed), len(counts)
         mass = np.cumsum(np.sqrt(counts))
         own = np.minimum((mass - np.sqrt(counts)) * CLASSES / max(mass[-1] if k else 1, 1e-9), CLASSES - 1).astype(np.int64)
@@ -66,8 +69,8 @@ class Model:
         f32 = lambda a: np.asarray(a, np.float32)
         self.w = {
             "x": f32(rng.normal(0, 0.1, (k + 2, 3 * HIDDEN))), "u": f32(rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN))),
-            "class_w": f32(rng.normal(0, 0.1, (HIDDEN, self.classes + 1))), "class_b": f32(np.log(by_class / by_class.sum())),
-            "word_w": f32(rng.normal(0, 0.1, (k, HIDDEN))), "word_b": f32(np.log(counts / by_class[own]) if k else np.zeros(0))}
+            "classes": f32(np.vstack([rng.normal(0, 0.1, (HIDDEN, self.classes + 1)), np.log(by_class / by_class.sum())])),
+            "words": f32(np.column_stack([rng.normal(0, 0.1, (k, HIDDEN)), np.log(counts / by_class[own]) if k else np.zeros(0)]))}
         self.rare, self.start = k, k + 1
 
     def flat(self) -> np.ndarray:
@@ -88,10 +91,17 @@ class Model:
             inputs = before[:n] if t == 0 else tokens[t - 1, :n]
             old = h[:n]
             g, s = x.take(inputs, axis=0), old @ u
-            rz = 1 / (1 + np.exp(-(g[:, :2 * hid] + s[:, :2 * hid])))
+            rz = g[:, :2 * hid] + s[:, :2 * hid]
+            np.exp(np.negative(rz, out=rz), out=rz)
+            rz += 1
+            np.reciprocal(rz, out=rz)
             r, z = rz[:, :hid], rz[:, hid:]
-            new = np.tanh(g[:, 2 * hid:] + r * s[:, 2 * hid:])
-            out = new + z * (old - new)
+            new = r * s[:, 2 * hid:]
+            new += g[:, 2 * hid:]
+            np.tanh(new, out=new)
+            out = old - new
+            out *= z
+            out += new
             if keep:
                 kept.append((inputs, old, r, z, new, s[:, 2 * hid:]))
             states.append(out)
@@ -100,17 +110,17 @@ class Model:
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool):
         """Log-probabilities of the targets; with ``learn`` also the gradients of minus their sum."""
-        w, own = self.w, self.class_of[targets]
-        at = np.arange(len(targets))
-        logits = states @ w["class_w"] + w["class_b"]
-        logp, total = _softmax(logits, at, own)
+        classes, words, own = self.w["classes"], self.w["words"], self.class_of[targets]
+        states = np.column_stack([states, np.ones(len(states), states.dtype)])
+        logits = states @ classes
+        logp, total = _softmax(logits, np.arange(len(targets)), own)
         grads = {}
         if learn:
-            logits /= total[:, None]
-            logits[at, own] -= 1
-            grads["class_w"], grads["class_b"] = states.T @ logits, logits.sum(axis=0)
-            d_states = logits @ w["class_w"].T
-            grads["word_w"], grads["word_b"] = np.zeros_like(w["word_w"]), np.zeros_like(w["word_b"])
+            # The narrow factor is divided by the sums, not the wide one.
+            logits[np.arange(len(targets)), own] -= total
+            grads["classes"], grads["words"] = (states / total[:, None]).T @ logits, np.zeros_like(words)
+            d_states = logits @ classes[:-1].T
+            d_states /= total[:, None]
         order = np.argsort(own.astype(np.int16), kind="stable")
         cut = np.searchsorted(own[order], np.arange(self.classes + 1))
         for c in range(self.classes):
@@ -118,16 +128,16 @@ class Model:
             low, high = self.low[c], self.low[c + 1]
             if not len(rows) or high - low == 1:
                 continue
-            some, word_w = states.take(rows, axis=0), w["word_w"][low:high]
-            l = some @ word_w.T + w["word_b"][low:high]
+            some, mine = states.take(rows, axis=0), words[low:high]
+            logits = some @ mine.T
             at, y = np.arange(len(rows)), targets[rows] - low
-            picked, total = _softmax(l, at, y)
+            picked, total = _softmax(logits, at, y)
             logp[rows] += picked
             if learn:
-                l /= total[:, None]
-                l[at, y] -= 1
-                grads["word_w"][low:high], grads["word_b"][low:high] = l.T @ some, l.sum(axis=0)
-                d_states[rows] += l @ word_w
+                logits[at, y] -= total
+                total = total[:, None]
+                grads["words"][low:high] = logits.T @ (some / total)
+                d_states[rows] += (logits @ mine[:, :-1]) / total
         return (logp, d_states, grads) if learn else logp
 
     def backward(self, kept: list, d_states: list[np.ndarray], grads: dict) -> None:
@@ -205,14 +215,13 @@ class Trainer:
 def _windows(docs: list[np.ndarray]):
     """(tokens of WINDOW steps by lanes, lanes at each step) for documents side by side, the longest first."""
     length = np.array([len(d) for d in docs])
+    flat, start = np.concatenate(docs) if len(docs) else np.zeros(0, np.int64), np.cumsum(length) - length
     for at in range(0, int(length[0]) if len(docs) else 0, WINDOW):
         n = int((length > at).sum())
-        steps = min(WINDOW, int(length[0]) - at)
-        tokens = np.zeros((steps, n), np.int64)
-        for i in range(n):
-            part = docs[i][at:at + steps]
-            tokens[:len(part), i] = part
-        yield tokens, [int((length[:n] > at + t).sum()) for t in range(steps)]
+        steps = np.arange(at, min(at + WINDOW, int(length[0])))[:, None]
+        # Past its end a document shows some other token; such lanes aren't active.
+        tokens = flat.take(np.minimum(start[:n] + steps, len(flat) - 1))
+        yield tokens, (length[:n] > steps).sum(axis=1).tolist()
 
 
 def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
@@ -255,7 +264,8 @@ def _count(batches):
 
     for b in batches:
         for text in b.column(0).to_pylist():
-            counter.update(tokens(text))
+            counter.update(text.lower().split())
+            counter[END] += 1
             if len(counter) > DISTINCT:
                 yield batch()
     if counter:
@@ -286,10 +296,17 @@ class Corpus:
         self.counts = scratch.write("counts", counted)
         total = self.counts.agg(F.sum("n"), F.count(lit(1))).first()
         self.n, self.v = total[0] or 0, total[1]
-        head = self.counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-        self.words, self.head = zlib.compress(b"\n".join(bytes(r.word) for r in head), 1), np.array([r.n for r in head], np.int64)
-        if END not in (bytes(r.word) for r in head[:VOCABULARY]) and len(head) > VOCABULARY:
-            raise ValueError("the end of documents is not among the most frequent tokens")
+        # The least count of the head, from how many words have each count; only the head itself reaches the driver.
+        room, least = HEAD, None
+        for r in self.counts.groupBy("n").agg(F.count(lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+            room, least = room - r.words, (r.n if room >= r.words else least)
+            if room <= 0:
+                break
+        wanted = (col("word") == lit(END)) | (lit(False) if least is None else col("n") >= least)
+        head = self.counts.where(wanted).select("word", "n").toArrow()
+        words, n = head.column(0).to_pylist(), head.column(1).to_numpy()
+        by = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))  # the end has a place of its own in any case
+        self.words, self.head = zlib.compress(b"\n".join(words[i] for i in by), 1), n[by].astype(np.int64)
         own = self.head[:VOCABULARY].astype(float)
         self.rare_n, self.rare_v = int(self.n - own.sum()), self.v - len(own)
         self.model = Model(own, self.rare_n)

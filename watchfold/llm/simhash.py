@@ -200,9 +200,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forest = scratch.write("links", links(distinct, radius))
     component = connected_components(forest, "a", "b").select(col("node").alias("fp"), col("component"))
     labelled = distinct.join(component, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(smallest, "component").select("fp", "component_id")
-    return prints.join(labelled, "fp").select(
+    labelled = scratch.write("labelled", labelled)
+    # Written, so that the join's exchanges stand alone and a large component's partition can be split.
+    smallest = scratch.write("smallest", labelled.groupBy("component").agg(F.min("least").alias("component_id")))
+    labelled = labelled.join(smallest.hint("merge"), "component").select("fp", "component_id")
+    return prints.join(labelled.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

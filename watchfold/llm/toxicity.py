@@ -167,17 +167,11 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(x @ self.document[1:] + self.document[0], -50, 50)))
 
 
-def _mine(docs: list[tuple[list[str], int]]) -> set:
-    """Buckets of the words and prefixes that mark toxic documents."""
-    words = list({w for tokens, _ in docs for w in tokens})
-    at = {w: i for i, w in enumerate(words)}
-    buckets = features(words)
+def _mine(docs: list[tuple[np.ndarray, int]], buckets: np.ndarray) -> np.ndarray:
+    """For each bucket, whether its word or prefix marks toxic documents; docs: distinct word numbers, and the label."""
     uses, in_docs, total = np.zeros((2, BUCKETS)), np.zeros(BUCKETS), np.zeros(2)
     seen = set()
-    for tokens, toxic in docs:
-        own = sorted({at[w] for w in tokens})
-        if not own:
-            continue
+    for own, toxic in docs:
         # Copies and near copies would pass their whole vocabulary off as typical; two min-hashes tell them.
         h = buckets[own, -1]
         key = (int((h * 40503 % 262139).min()), int((h * 30011 % 262133).min()), toxic)
@@ -190,29 +184,25 @@ def _mine(docs: list[tuple[list[str], int]]) -> set:
         if toxic:
             in_docs[np.unique(b)] += 1
     lift = (uses[1] + 0.5) / (total[1] + 1) / ((uses[0] + 0.5) / (total[0] + 1))
-    marks = np.flatnonzero((in_docs >= LEAST_DOCS) & (lift >= LIFT))
-    return set(marks[marks > 0].tolist())
+    marks = (in_docs >= LEAST_DOCS) & (lift >= LIFT)
+    marks[0] = False
+    return marks
 
 
 def train(sample: list[tuple[str, int]], seed: int = 11, steps: int = 60) -> Field:
     """Fit the field on two thirds of labelled texts (text, toxic), the document model on the others."""
     rng = np.random.default_rng(seed)
-    tokens = [(_words(text.lower()), int(toxic)) for text, toxic in sample]
-    fold = rng.random(len(tokens)) < 2 / 3
-    marks = np.zeros(BUCKETS, bool)
-    marks[list(_mine([d for d, own in zip(tokens, fold) if own]))] = True
-    numbers, rows, truth, length, weight = _Numbers(), [], [], [], []
-    for (found, toxic), own in zip(tokens, fold):
-        if not own or not found:
-            continue
-        number = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        rows.append(number)
-        length.append((len(number), toxic))
+    fold = rng.random(len(sample)) < 2 / 3
+    numbers, rows = _Numbers(), []
+    for (text, toxic), own in zip(sample, fold):
+        if own and (found := _words(text.lower())):
+            rows.append((np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)), int(toxic)))
     words = numbers.new
     buckets = features(words)
+    marks = _mine([(np.unique(number), toxic) for number, toxic in rows], buckets)
     marked = marks[buckets].any(axis=1)
     seqs = []
-    for number, (_, toxic) in zip(rows, length):
+    for number, toxic in rows:
         for at in range(0, len(number), WINDOW):
             own = number[at:at + WINDOW]
             if marked[own].any():
@@ -249,8 +239,11 @@ def train(sample: list[tuple[str, int]], seed: int = 11, steps: int = 60) -> Fie
                 v[i] = 0.99 * v[i] + 0.01 * g * g
                 x -= 0.3 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
     held = [s for s, own in zip(sample, fold) if not own] or sample
-    number, p, size, _ = field.tag([t for t, _ in held])
-    x, y = field.inputs(number, p, size), np.array([t for _, t in held], float)
+    parts = []
+    for at in range(0, len(held), 500):
+        number, p, size, _ = field.tag([t for t, _ in held[at:at + 500]])
+        parts.append(field.inputs(number, p, size))
+    x, y = np.concatenate(parts) if parts else np.zeros((0, 6)), np.array([t for _, t in held], float)
     field.mean, field.spread = x.mean(axis=0) if len(x) else np.zeros(6), x.std(axis=0) + 1e-6 if len(x) else np.ones(6)
     x = np.c_[np.ones(len(x)), (x - field.mean) / field.spread]
     field.document = np.zeros(x.shape[1])
