@@ -26,10 +26,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     seen, n = _fingerprint(current), 0
     while seen[0]:
         both = current.union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(col("v").alias("u"), col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        # Minima are written, so that the joins' exchanges stand alone and a hub's partition can be split.
+        least = scratch.write(f"large{n}", both.groupBy("u").agg(F.least(col("u"), F.min("v")).alias("m")))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(col("v").alias("u"), col("m").alias("v"))
+        large = scratch.write(f"edges{n}", large)
+        least = scratch.write(f"small{n}", large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least.hint("merge"), "u")
         small = small.select("u", col("m").alias("v")).union(small.where("v <> m").select(col("v").alias("u"), col("m").alias("v")))
         n += 1
         current = scratch.write(f"round{n}", small.distinct())

@@ -8,6 +8,7 @@ from pyspark.sql.functions import col, lit
 from watchfold import schema
 from watchfold.functions import maps, scalars
 from watchfold.sources.config import Mapping
+from watchfold.sources.lines import _once
 
 # Where fields of any Windows event go; a later one overrides an earlier one.
 WINDOWS_FIELDS = [
@@ -60,7 +61,7 @@ def _windows(records: DataFrame, mappings: dict[str, Mapping]) -> DataFrame:
     df = records.withColumns({"assigned": assigned, "used": used, "code": scalars.whole(_field("EventID")).try_cast("int")})
     last = lambda test: F.try_element_at(F.filter("assigned", test), lit(-1))["v"]
     class_uid = F.coalesce(F.element_at(F.create_map(*(lit(x) for k, m in mappings.items() for x in (k, m.class_uid))), _field("EventID")), lit(schema.UNMAPPED))
-    df = df.withColumn("class_uid", class_uid.cast("int"))
+    df = _once(df.withColumn("class_uid", class_uid.cast("int")))
     share = (col("class_uid") == schema.NETWORK) & _field("ShareName").isNotNull()
     known = _coded
     of = lambda path: lambda a: a["k"] == path

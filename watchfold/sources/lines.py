@@ -51,6 +51,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.where(scalars.trim(col("value")) != "")
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows, each column computed once: neither filters nor projections move below a generator."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def _token(tokens: Column, at: Column) -> Column:
     """The token at a position from 1; null beyond either end."""
     return F.when(at >= 1, F.try_element_at(tokens, F.greatest(at, lit(1)).cast("int")))
@@ -94,6 +99,7 @@ def decode(lines: DataFrame) -> DataFrame:
     df = df.withColumns({
         "tenant": F.expr(f"substring({'{0}'}, {len(TAG) + 1})".format("split(header, ',')[0]")), "collector": scalars.epoch_millis(F.get(head, lit(1))),
         "xml_at": F.instr("payload", "<")})
+    df = _once(df)
     is_xml = col("xml_at") > 0
     meta_csv = F.regexp_replace(F.expr("substring(payload, 1, greatest(xml_at - 1, 0))"), ",+$", "")
     df = df.withColumn("tokens", F.when(is_xml, _split(meta_csv)).otherwise(_split(col("payload"))))
@@ -102,13 +108,14 @@ def decode(lines: DataFrame) -> DataFrame:
     df = df.withColumn("mark", F.when(~is_xml, first))
     df = df.withColumn("logset", F.when(is_xml, F.size("tokens")).otherwise(col("mark") - 1))
     xml, well_formed = _xml_fields(F.when(is_xml, F.expr("substring(payload, xml_at)")))
-    df = df.withColumns({"xml": xml, "well_formed": well_formed})
+    df = _once(df.withColumns({"xml": xml, "well_formed": well_formed}))
     args = F.when(col("mark") > 0, F.expr("slice(tokens, mark + 1, size(tokens))"))
     df = df.withColumns({
         "args": args, "type": F.when(col("mark") > 0, _token(col("tokens"), col("mark"))),
         "meta_ip": _token(col("tokens"), col("logset") - 1), "meta_host": _token(col("tokens"), col("logset") - 2),
         "generated": _token(col("tokens"), col("logset") - 3), "agent": _token(col("tokens"), col("logset") - 4)})
-    df = df.withColumn("error", _first_error(is_xml))
+    df = _once(df)
+    df = _once(df.withColumn("error", _first_error(is_xml)))
     fields = F.filter(F.concat(_payload_entries(is_xml), _meta_entries()), lambda e: e["v"] != "")
     seconds = scalars.epoch_seconds(col("generated"))
     ts = F.when(is_xml, F.coalesce(scalars.iso_millis(F.try_element_at("xml", lit("TimeCreated_SystemTime"))), seconds, "collector", lit(0))).otherwise(
@@ -117,9 +124,9 @@ def decode(lines: DataFrame) -> DataFrame:
         lit(NETWORK), lit("network"), lit(NEW_PROCESS), lit("process"), lit(FILE_INTEGRITY), lit("integrity")), col("type")))
     host = F.coalesce(F.when(is_xml, F.try_element_at("xml", lit("Computer"))), "meta_host")
     good = col("error").isNull()
-    return df.select(
+    return _once(df.select(
         "line_no", F.when(good, kind).alias("kind"), F.when(good, ts).cast("bigint").alias("ts_ms"), F.when(good, host).alias("host"),
-        F.when(good, col("meta_ip")).alias("source_ip"), F.when(good, maps.last_wins(fields)).alias("fields"), "raw", "error")
+        F.when(good, col("meta_ip")).alias("source_ip"), F.when(good, maps.last_wins(fields)).alias("fields"), "raw", "error"))
 
 
 def _first_error(is_xml: Column) -> Column:
