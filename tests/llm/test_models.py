@@ -1,0 +1,142 @@
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from watchfold.llm import lm, secrets, toxicity
+
+PATTERNS = (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24))
+
+
+def brute(text):
+    out = []
+    for k, (kind, pattern, least) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text, re.I | re.A if kind == "assign" else 0):
+            if len(m[2] if kind == "assign" else m[0]) >= least:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_patterns_equal_brute_force():
+    rng = random.Random(3)
+    bits = ["password", "TOKEN", "api_key", "secret", ":", "=", " ", '"', "'", "AKIA", "ABCDEFGH12345678", "deadbeef01", "abc", "é", "ſecret", "-", "x"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(60))
+        assert secrets.scan(text)[0] == brute(text)
+
+
+def test_network_keeps_its_recall():
+    net = secrets.train()
+    held = secrets.labelled_findings(1500, 99)
+    score, truth = net.scores([h[:3] for h in held]), np.array([h[3] for h in held])
+    assert (score[truth == 1] >= net.threshold).mean() >= 0.95
+    assert (score[truth == 0] >= net.threshold).mean() <= 0.02
+
+
+def test_secret_operators(docs, odd, none):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in secrets.secrets(docs).collect():
+        base = brute(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, i, _ in base) for k in range(3))
+        joined = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+    assert secrets.secrets(odd).count() == 9 and secrets.secrets(none).count() == 0
+    masked = secrets.masked_documents(docs)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert not any(brute(r.text) for r in masked.collect())
+    assert secrets.masked_documents(odd).where("text IS NULL").count() == 1
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(0)
+    for _ in range(10):
+        length, trans = rng.integers(1, 7, 3), rng.normal(-1, 1, 2)
+        emission = rng.normal(0, 2, length.sum())
+        packed = toxicity.Packed.of(length)
+        placed = np.empty(len(emission))
+        placed[packed.place] = emission
+        got, at = toxicity.marginals(placed, packed, trans)[packed.place], 0
+        for n in length:
+            weight, total = np.zeros(n), 0.0
+            for y in itertools.product((0, 1), repeat=int(n)):
+                p, before = 1.0, 0
+                for k in range(n):
+                    odds = math.exp(trans[before])
+                    p *= (odds if y[k] else 1) / (1 + odds) * math.exp(emission[at + k] * y[k])
+                    before = y[k]
+                total, weight = total + p, weight + p * np.array(y)
+            assert np.allclose(weight / total, got[at:at + n])
+            at += n
+
+
+def test_toxicity_is_learned(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    field = toxicity.fit(docs, labels)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = toxicity.toxicity(docs, field).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [(r.score, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    bad, good = [s for s, t in held if t], [s for s, t in held if not t]
+    assert np.mean([a > b for a in bad for b in good]) > 0.93
+    assert np.mean([s >= 0.7 for s in good]) < 0.03
+    got = toxicity.toxicity(odd, field).collect()
+    assert len(got) == 9 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.toxicity(none, field).count() == 0
+    kept = toxicity.accepted(docs, field)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.predicted}
+    toxicity.fit(none, labels)  # nothing to learn from
+
+
+def test_gradients_equal_differences(monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 6)
+    rng = np.random.default_rng(0)
+    model = lm.Model(np.sort(rng.integers(1, 100, 40))[::-1].astype(float), 30)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    tokens, active = next(lm._windows([rng.integers(0, 41, 9), rng.integers(0, 41, 5)]))
+    targets = np.concatenate([tokens[t, :n] for t, n in enumerate(active)])
+    forward = lambda: model.steps(tokens, active, np.full(2, model.start), np.zeros((2, lm.HIDDEN)), True)
+    states, kept = forward()
+    _, d, grads = model.outputs(np.concatenate(states), targets, True)
+    model.backward(kept, np.split(d, np.cumsum(active)[:-1]), grads)
+    rows, gates = grads["x"]
+    grads["x"] = np.zeros_like(model.w["x"])
+    np.add.at(grads["x"], rows, gates)
+    for name in model.NAMES:
+        at = (int(kept[2][0][0]), 7) if name == "x" else tuple(int(rng.integers(0, s)) for s in model.w[name].shape)
+        old, values = model.w[name][at], []
+        for step in (1e-5, -1e-5):
+            model.w[name][at] = old + step
+            values.append(-model.outputs(np.concatenate(forward()[0]), targets, False).sum())
+        model.w[name][at] = old
+        assert np.isclose((values[0] - values[1]) / 2e-5, grads[name][at], atol=1e-6)
+    one = forward()[0][0][:1]
+    assert np.isclose(sum(np.exp(model.outputs(one, np.array([t]), False)[0]) for t in range(41)), 1)
+
+
+@pytest.mark.parametrize("head", [300_000, 5000])
+def test_language_model_scores(spark, head, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", head)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tokens = {r.doc_id: [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text)) if w] + [None] for r in docs.collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, ws in tokens.items() if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    rows = lm.log_likelihoods(docs).collect()
+    for r in rows:
+        ws = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
+def test_language_model_bears_odd_rows(odd, none):
+    got = lm.log_likelihoods(odd).collect()
+    assert len(got) == 9 and {r.n_tokens for r in got if r.doc_id in (3, 4, 7)} == {1}
+    assert lm.log_likelihoods(none).count() == 0

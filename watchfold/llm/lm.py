@@ -33,7 +33,7 @@ from pyspark.sql.functions import coalesce, col, lit
 from watchfold.shared import Scratch
 
 VOCABULARY = 4096
-HEAD = 500_000
+HEAD = 300_000
 HIDDEN = 16
 CLASSES = 48
 WINDOW = 32
@@ -352,8 +352,8 @@ def _trainer(sent, rate: float):
             for text in b.column(0).to_pylist():
                 own = tokens(text)
                 own = np.fromiter(map(ids.__getitem__, own), np.int64, len(own))
-                docs.append(np.where((own < 0) | (own >= model.rare), model.rare, own))
-                if len(docs) == 8 * LANES:
+                docs.append(np.where((own < 0) | (own >= model.rare), model.rare, own).astype(np.int32))
+                if len(docs) == 4 * LANES:
                     trainer.learn(docs)
                     docs = []
             trainer.learn(docs)
@@ -383,7 +383,7 @@ def _scorer(sent):
         model, words, counts = sent.value
         ids, logs = _ids(words), np.log10(np.append(counts, 0) + 1.0)
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (b.slice(at, 2 * SCORED) for b in batches for at in range(0, b.num_rows, 2 * SCORED)):
             docs, facts, other = [], [], []
             for text in b.column(2).to_pylist():
                 own = tokens(text)
@@ -391,10 +391,10 @@ def _scorer(sent):
                 known = at >= 0
                 rare = ~known | (at >= model.rare)
                 missing = np.flatnonzero(~known)
-                docs.append(np.where(rare, model.rare, at))
+                docs.append(np.where(rare, model.rare, at).astype(np.int32))
                 facts.append((row, len(own), int(known.sum()), int(rare.sum()), len(missing), float(logs[at[known]].sum()), float(logs[at[known & rare]].sum())))
                 if len(missing):
-                    other.append((row, Counter([own[i] for i in missing.tolist()])))
+                    other.append((row, Counter(map(own.__getitem__, missing.tolist()))))
                 row += 1
             model_logs = score(model, docs) / np.log(10)
             f = list(zip(*facts)) or [()] * 7

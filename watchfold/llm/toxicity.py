@@ -29,7 +29,7 @@ from watchfold.llm.pieces import _Numbers
 #: Labelled documents that are learned from, at most.
 SAMPLE = 6000
 #: A word or prefix is toxic from so many toxic documents, and so many times the frequency in others, on.
-LEAST_DOCS, LIFT = 6, 8.0
+LEAST_DOCS, LIFT = 4, 8.0
 WINDOW, NEGATIVES = 64, 0.15
 PREFIXES = (3, 4, 5, 6, 7)
 BUCKETS = 1 << 18

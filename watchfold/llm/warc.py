@@ -48,10 +48,9 @@ def url_key(url: str | None) -> str:
     if not url:
         return ""
     rest = url.partition("://")[2] or url
-    host, slash, path = rest.partition("/")
-    host, question, query = host.partition("?")
-    host = host.rpartition("@")[2].partition(":")[0].lower()
-    return ",".join(reversed(host.split("."))) + ")" + (slash + path or "/" + question + query)
+    end = min((at for mark in "/?#" if (at := rest.find(mark)) >= 0), default=len(rest))
+    host, path = rest[:end].rpartition("@")[2].partition(":")[0].lower(), rest[end:]
+    return ",".join(reversed(host.split("."))) + ")" + (path if path.startswith("/") else "/" + path)
 
 
 def _record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
