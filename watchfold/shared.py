@@ -7,6 +7,7 @@ session; only where it is unset (tests, a laptop) is one made and set.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -50,4 +51,5 @@ class Scratch:
         try:
             remove(self.spark, self.path)
         except Exception:  # the session may be gone already
-            pass
+            if self.path.startswith("file://"):
+                shutil.rmtree(self.path.removeprefix("file://"), ignore_errors=True)
