@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ RATE = 0.1
 PIECES = 16
 #: Distinct words that a counting task holds, and documents that are scored side by side.
 DISTINCT = 400_000
-SCORED = 1024
+SCORED = 2048
 #: The end of a document; no word is empty.
 END = b""
 
@@ -108,10 +109,10 @@ class Model:
             h = out
         return states, kept
 
-    def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool):
+    def outputs(self, states: list[np.ndarray], targets: np.ndarray, learn: bool):
         """Log-probabilities of the targets; with ``learn`` also the gradients of minus their sum."""
         classes, words, own = self.w["classes"], self.w["words"], self.class_of[targets]
-        states = np.column_stack([states, np.ones(len(states), states.dtype)])
+        states = _with_one(states)
         logits = states @ classes
         logp, total = _softmax(logits, np.arange(len(targets)), own)
         grads = {}
@@ -161,6 +162,13 @@ class Model:
         grads["u"], grads["x"] = d_u, (np.concatenate(inputs), np.concatenate(gates))
 
 
+def _with_one(states: list[np.ndarray]) -> np.ndarray:
+    """All states in a row, and a constant one that meets the biases."""
+    out = np.ones((sum(map(len, states)), HIDDEN + 1), states[0].dtype)
+    np.concatenate(states, out=out[:, :-1])
+    return out
+
+
 def _softmax(logits: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of the picked columns; ``logits`` become their exponentials, whose sums are returned too.
 
@@ -191,7 +199,7 @@ class Trainer:
         for tokens, active in _windows(docs):
             states, kept = model.steps(tokens, active, before, h, keep=True)
             targets = np.concatenate([tokens[t, :n] for t, n in enumerate(active)])
-            _, d, grads = model.outputs(np.concatenate(states), targets, learn=True)
+            _, d, grads = model.outputs(states, targets, learn=True)
             model.backward(kept, np.split(d, np.cumsum(active)[:-1]), grads)
             self._update(grads, len(targets))
             n = active[-1]
@@ -236,7 +244,7 @@ def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
             states, _ = model.steps(tokens, active, before, h, keep=False)
             targets = np.concatenate([tokens[t, :n] for t, n in enumerate(active)])
             lanes = np.concatenate([np.arange(n) for n in active])
-            logp = model.outputs(np.concatenate(states), targets, learn=False)
+            logp = model.outputs(states, targets, learn=False)
             total += np.bincount(lanes, logp, len(group))
             h, before = states[-1], tokens[len(active) - 1, :active[-1]]
         out[own] = total
@@ -272,16 +280,15 @@ def _count(batches):
         yield batch()
 
 
-class _Ids(dict):
-    """Word -> place in the head; -1 for other words."""
-
-    def __missing__(self, word):
-        return -1
+@lru_cache(maxsize=2)
+def _lookup(words: bytes):
+    """A function from words to their places in the packed list, -1 for other words."""
+    get = {w: i for i, w in enumerate(zlib.decompress(words).split(b"\n"))}.get
+    return lambda own: np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
 
 
-@lru_cache(maxsize=2)
-def _ids(words: bytes) -> _Ids:
-    return _Ids((w, i) for i, w in enumerate(zlib.decompress(words).split(b"\n")))
+def _pack(words: list[bytes]) -> bytes:
+    return zlib.compress(b"\n".join(words), 1)
 
 
 class Corpus:
@@ -306,7 +313,7 @@ class Corpus:
         head = self.counts.where(wanted).select("word", "n").toArrow()
         words, n = head.column(0).to_pylist(), head.column(1).to_numpy()
         by = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))  # the end has a place of its own in any case
-        self.words, self.head = zlib.compress(b"\n".join(words[i] for i in by), 1), n[by].astype(np.int64)
+        self.words, self.head = [words[i] for i in by], n[by].astype(np.int64)
         own = self.head[:VOCABULARY].astype(float)
         self.rare_n, self.rare_v = int(self.n - own.sum()), self.v - len(own)
         self.model = Model(own, self.rare_n)
@@ -314,7 +321,7 @@ class Corpus:
     def train(self) -> None:
         for r in range(ROUNDS):
             share = self.training.where(F.pmod(F.xxhash64("doc_id", F.length("text")), lit(ROUNDS)) == r).select("text")
-            sent = self.spark.sparkContext.broadcast((self.model, self.words))
+            sent = self.spark.sparkContext.broadcast((self.model, _pack(self.words[:VOCABULARY])))
             parts = share.mapInArrow(_trainer(sent, RATE / (1 + r)), "piece int, salt int, weights binary, tokens double")
             summed = parts.repartition(col("piece"), col("salt")).mapInArrow(_sum, "piece int, weights binary, tokens double").collect()
             if summed:
@@ -326,7 +333,7 @@ class Corpus:
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-        sent = self.spark.sparkContext.broadcast((self.model, self.words, self.head))
+        sent = self.spark.sparkContext.broadcast((self.model, _pack(self.words), self.head))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         rows = self.docs.mapInArrow(_scorer(sent), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, n_rare long, "
                                     "n_other long, logs double, rare_logs double, model double, word binary, n long")
@@ -346,14 +353,13 @@ class Corpus:
 def _trainer(sent, rate: float):
     def run(batches):
         model, words = sent.value
-        ids, trainer = _ids(words), Trainer(model, rate)
+        place, trainer = _lookup(words), Trainer(model, rate)
         for b in batches:
             docs = []
             for text in b.column(0).to_pylist():
-                own = tokens(text)
-                own = np.fromiter(map(ids.__getitem__, own), np.int64, len(own))
-                docs.append(np.where((own < 0) | (own >= model.rare), model.rare, own).astype(np.int32))
-                if len(docs) == 4 * LANES:
+                own = place(tokens(text))
+                docs.append(np.where(own < 0, np.int32(model.rare), own))
+                if len(docs) == 16 * LANES:
                     trainer.learn(docs)
                     docs = []
             trainer.learn(docs)
@@ -381,17 +387,17 @@ def _sum(batches):
 def _scorer(sent):
     def run(batches):
         model, words, counts = sent.value
-        ids, logs = _ids(words), np.log10(np.append(counts, 0) + 1.0)
+        place, logs = _lookup(words), np.log10(np.append(counts, 0) + 1.0)
         row = TaskContext.get().partitionId() << 33
         for b in (b.slice(at, 2 * SCORED) for b in batches for at in range(0, b.num_rows, 2 * SCORED)):
             docs, facts, other = [], [], []
             for text in b.column(2).to_pylist():
                 own = tokens(text)
-                at = np.fromiter(map(ids.__getitem__, own), np.int64, len(own))
+                at = place(own)
                 known = at >= 0
                 rare = ~known | (at >= model.rare)
                 missing = np.flatnonzero(~known)
-                docs.append(np.where(rare, model.rare, at).astype(np.int32))
+                docs.append(np.where(rare, np.int32(model.rare), at))
                 facts.append((row, len(own), int(known.sum()), int(rare.sum()), len(missing), float(logs[at[known]].sum()), float(logs[at[known & rare]].sum())))
                 if len(missing):
                     other.append((row, Counter(map(own.__getitem__, missing.tolist()))))
