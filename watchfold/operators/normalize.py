@@ -76,13 +76,14 @@ def _windows(records: DataFrame, mappings: dict[str, Mapping]) -> DataFrame:
         maps.entry("auth_protocol", scalars.logon_type(_field("LogonType"))),
         maps.entry("activity_name", F.when(share, "Share Access").otherwise(known("activity_name"))),
         maps.entry("status", known("status")), maps.entry("severity", known("severity")), maps.entry("share_name", F.when(share, _field("ShareName"))))
+    df = _once(df.withColumn("set", F.concat(keep(hosts), keep(plain), added)))
     extra = F.map_filter("fields", lambda k, _: k.startswith("env.") | ~F.array_contains("used", k))
     return df.select(
         *_keys(df), "class_uid", F.when(share, SHARE_ACCESS).otherwise(known("activity_id")).cast("int").alias("activity_id"), col("code").alias("event_code"),
         F.coalesce("host", first_host).alias("host"), *(last(of(p)).alias(c) for p, c in TEXT_COLUMNS.items()),
         *(scalars.pid(last(number_of(p))).alias(c) for p, c in PID_COLUMNS.items()),
         known("status_id").cast("int").alias("status_id"), known("severity_id").cast("int").alias("severity_id"),
-        maps.last_wins(F.concat(keep(hosts), keep(plain), added)).alias("fields"), extra.alias("extra"), "raw")
+        maps.last_wins(col("set")).alias("fields"), extra.alias("extra"), "raw")
 
 
 def _coded(name: str) -> Column:

@@ -65,23 +65,24 @@ def _split(text: Column) -> Column:
     return F.transform(F.split(text, ",", -1), scalars.trim)
 
 
-def _xml_fields(xml: Column) -> tuple[Column, Column]:
-    """All fields of a Windows event, and whether the XML is well formed.
+def _with_xml(df: DataFrame, xml: Column) -> DataFrame:
+    """``df`` with all fields of a Windows event ("xml"), and whether the XML is well formed ("well_formed").
 
     Text of the System section's elements by tag, their attributes by tag_attribute,
     and data elements by name.  Of equal keys the first text stays, an attribute
     goes before a text, and empty values are dropped.  Attributes beyond
     SYSTEM_ATTRIBUTES and other sections are not kept.
     """
-    typed = F.from_xml(xml, _XML, _XML_OPTIONS)
-    texts = F.from_xml(xml, "System map<string,string>", _XML_OPTIONS)["System"]
+    df = _once(df.withColumns({"typed": F.from_xml(xml, _XML, _XML_OPTIONS), "texts": F.from_xml(xml, "System map<string,string>", _XML_OPTIONS)["System"]}))
+    typed = col("typed")
     attributes = [maps.entry(f"{e}_{a}", typed["System"][e][f"_{a}"]) for e, attrs in SYSTEM_ATTRIBUTES.items() for a in attrs]
     data = F.transform(typed["EventData"]["Data"], lambda d: F.struct(d["_Name"].alias("k"), d["_VALUE"].alias("v")))
-    system = F.transform(F.map_entries(texts), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    system = F.transform(F.map_entries("texts"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
     none = F.array().cast("array<struct<k:string,v:string>>")
-    entries = F.concat(F.array(*attributes), F.coalesce(system, none), F.coalesce(data, none))
-    entries = F.transform(entries, lambda e: F.struct(e["k"].alias("k"), scalars.trim(e["v"]).alias("v")))
-    return maps.first_wins(F.filter(entries, lambda e: e["v"] != "")), typed.isNotNull()
+    entries = F.filter(F.concat(F.array(*attributes), F.coalesce(system, none), F.coalesce(data, none)), lambda e: e["v"].isNotNull())
+    entries = F.filter(F.transform(entries, lambda e: F.struct(e["k"].alias("k"), scalars.trim(e["v"]).alias("v"))), lambda e: e["v"] != "")
+    df = _once(df.withColumns({"entries": entries, "well_formed": typed.isNotNull()}).drop("typed", "texts"))
+    return _once(df.withColumn("xml", maps.first_wins(col("entries"))).drop("entries"))
 
 
 def _error(kind: str, reason: Column) -> Column:
@@ -107,8 +108,7 @@ def decode(lines: DataFrame) -> DataFrame:
     first = F.array_position(F.transform("tokens", lambda t: F.array_contains(marks, t)), True)
     df = df.withColumn("mark", F.when(~is_xml, first))
     df = df.withColumn("logset", F.when(is_xml, F.size("tokens")).otherwise(col("mark") - 1))
-    xml, well_formed = _xml_fields(F.when(is_xml, F.expr("substring(payload, xml_at)")))
-    df = _once(df.withColumns({"xml": xml, "well_formed": well_formed}))
+    df = _with_xml(df, F.when(is_xml, F.expr("substring(payload, xml_at)")))
     args = F.when(col("mark") > 0, F.expr("slice(tokens, mark + 1, size(tokens))"))
     df = df.withColumns({
         "args": args, "type": F.when(col("mark") > 0, _token(col("tokens"), col("mark"))),
@@ -116,7 +116,7 @@ def decode(lines: DataFrame) -> DataFrame:
         "generated": _token(col("tokens"), col("logset") - 3), "agent": _token(col("tokens"), col("logset") - 4)})
     df = _once(df)
     df = _once(df.withColumn("error", _first_error(is_xml)))
-    fields = F.filter(F.concat(_payload_entries(is_xml), _meta_entries()), lambda e: e["v"] != "")
+    df = _once(df.withColumn("all_fields", F.filter(F.concat(_payload_entries(is_xml), _meta_entries()), lambda e: e["v"] != "")))
     seconds = scalars.epoch_seconds(col("generated"))
     ts = F.when(is_xml, F.coalesce(scalars.iso_millis(F.try_element_at("xml", lit("TimeCreated_SystemTime"))), seconds, "collector", lit(0))).otherwise(
         F.coalesce(seconds, "collector", lit(0)))
@@ -126,7 +126,7 @@ def decode(lines: DataFrame) -> DataFrame:
     good = col("error").isNull()
     return _once(df.select(
         "line_no", F.when(good, kind).alias("kind"), F.when(good, ts).cast("bigint").alias("ts_ms"), F.when(good, host).alias("host"),
-        F.when(good, col("meta_ip")).alias("source_ip"), F.when(good, maps.last_wins(fields)).alias("fields"), "raw", "error"))
+        F.when(good, col("meta_ip")).alias("source_ip"), F.when(good, maps.last_wins(col("all_fields"))).alias("fields"), "raw", "error"))
 
 
 def _first_error(is_xml: Column) -> Column:
