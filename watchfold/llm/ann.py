@@ -4,10 +4,13 @@ Every tree hashes a vector to a string of ``BITS`` bits, the sides of random
 hyperplanes through the mean of a bounded sample, and keeps its strings sorted.
 A query descends each tree to its longest matching prefix by binary search, then
 all trees ascend together, a bit at a time, until the prefixes they stand at hold
-``ENOUGH`` of the shard's rows, counted with repeats over trees.  All rows under
-those prefixes are compared exactly, in double precision; no bucket is cut.
+``ENOUGH`` of the shard's rows, counted with repeats over trees, and k rows
+beside the query's own, counted once.  Rows that share a query's whole string in a tree, its own among
+them, do not count there to ``ENOUGH``.  All rows under those prefixes are compared
+exactly, in double precision; no bucket is cut.  A shard of ``WHOLE`` rows or fewer
+is compared whole: there every row that all trees hold would be much of what is enough.
 
-Rows are indexed in shards of ``SHARD`` rows, written as a table.  Queries go to
+Rows are indexed in even shards of about ``SHARD`` rows at most, written as a table.  Queries go to
 the shards in blocks of about ``QUERIES`` vectors, the bound that lets a block be
 broadcast, and each shard returns its k best.  Equal vectors of a shard are
 indexed once with their smallest ids, as many as a result can hold.
@@ -26,6 +29,7 @@ TREES = 64
 BITS = 48
 ENOUGH = 1.1
 SHARD = 16_384
+WHOLE = 16 * TREES
 QUERIES = 4096
 #: Rows that the centre of the hyperplanes is fit on, at most.
 FIT = 10_000
@@ -44,10 +48,13 @@ class Forest:
         order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
         return cls(vectors, np.take_along_axis(strings, order, axis=1), order)
 
-    def candidates(self, strings: np.ndarray, enough: float):
-        """Of each query (a column of strings): the rows under its prefixes once they are enough."""
+    def candidates(self, strings: np.ndarray, enough: float, k: int):
+        """Of each query (a column of strings): the rows under its prefixes once they are enough, k + 1 at least if there are."""
         trees, n = self.hashes.shape
         queries = strings.shape[1]
+        if n <= max(WHOLE, k + 1):
+            yield from (np.arange(n) for _ in range(queries))
+            return
         low = np.empty((trees, queries, BITS + 1), np.int32)
         high = np.empty_like(low)
         keep = np.array([((1 << x) - 1) << (BITS - x) for x in range(BITS + 1)], np.uint64)
@@ -60,7 +67,7 @@ class Forest:
         size = (high - low).astype(np.int64)
         total = size.sum(axis=0)
         for q in range(queries):
-            want = min(enough * n, total[q, 0])
+            want = min(enough * n + total[q, BITS], total[q, 0])
             x = int(np.flatnonzero(total[q] >= want)[-1])
             # All trees have ascended to x + 1; at x they add what they have, one after another, until it is enough.
             last = int(np.argmax(total[q, x + 1] + np.cumsum(size[:, q, x] - size[:, q, x + 1]) >= want)) if x < BITS else trees
@@ -68,6 +75,10 @@ class Forest:
             for t in range(trees):
                 at = x if t <= last else x + 1
                 mask[self.order[t, low[t, q, at]:high[t, q, at]]] = True
+            while x and np.count_nonzero(mask) <= k:
+                x -= 1
+                for t in range(trees):
+                    mask[self.order[t, low[t, q, x]:high[t, q, x]]] = True
             yield np.flatnonzero(mask)
 
 
@@ -105,7 +116,7 @@ def build(vectors: DataFrame, scratch: Scratch, k: int, id_col: str = "vec_id",
     centre = fit.mean(axis=0) if len(fit) else np.zeros(dim, np.float32)
 
     def shards(batches):
-        ids, held, n = [], [], 0
+        ids, held = [], []
 
         def shard():
             own, v = np.concatenate(ids), np.concatenate(held)
@@ -123,18 +134,14 @@ def build(vectors: DataFrame, scratch: Scratch, k: int, id_col: str = "vec_id",
 
         schema = pa.schema([("ids", pa.binary()), ("owner", pa.binary()), ("vectors", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
         for b in batches:
-            for at in range(0, b.num_rows, SHARD):
-                part = b.slice(at, SHARD)
-                ids.append(part.column(0).to_numpy())
-                held.append(_matrix(part.column(1), dim))
-                n += part.num_rows
-                if n >= SHARD:
-                    yield shard()
-                    ids, held, n = [], [], 0
-        if n:
+            ids.append(b.column(0).to_numpy())
+            held.append(_matrix(b.column(1), dim))
+        if sum(map(len, ids)):
             yield shard()
 
-    index = scratch.write("index", rows.mapInArrow(shards, "ids binary, owner binary, vectors binary, hashes binary, places binary"))
+    # Dealt in turn, so that shards are even whatever partitions the rows come in.
+    even = rows.repartition(max(1, -(-rows.count() // SHARD)))
+    index = scratch.write("index", even.mapInArrow(shards, "ids binary, owner binary, vectors binary, hashes binary, places binary"))
     return index, rows, centre
 
 
@@ -176,7 +183,7 @@ def _searcher(sent, centre: np.ndarray, k: int, enough: float):
                 start = np.searchsorted(owner, np.arange(len(vectors) + 1))
                 wide, out = vectors.astype(np.float64), []
                 for at in range(0, len(query), 256):
-                    for q, rows in enumerate(forest.candidates(strings[:, at:at + 256], enough), at):
+                    for q, rows in enumerate(forest.candidates(strings[:, at:at + 256], enough, k), at):
                         d = np.sqrt(((wide[rows] - query[q].astype(np.float64)) ** 2).sum(axis=1))
                         near = rows[d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]]
                         d = dict(zip(rows.tolist(), d.tolist()))
