@@ -244,6 +244,22 @@ def pagerank(spark, sf):
     return _round(centrality.pagerank(*testdata.graph(spark, sf), iterations=10), "score")
 
 
+# The whole operators, without SQL: all edges of all time, and the rounds that the API runs.
+@query
+def component_labels_whole(spark, sf):
+    return centrality.components(*testdata.graph(spark, sf))
+
+
+@query
+def component_sizes_whole(spark, sf):
+    return centrality.component_sizes(centrality.components(*testdata.graph(spark, sf))).groupBy("size").agg(F.count(lit(1)).alias("n"))
+
+
+@query
+def pagerank_whole(spark, sf):
+    return _round(centrality.pagerank(*testdata.graph(spark, sf)), "score")
+
+
 @query
 def alert_proximity(spark, sf):
     nodes, edges = testdata.graph(spark, sf)
@@ -255,6 +271,11 @@ def risk(spark, sf):
     return _round(centrality.risk(*testdata.graph(spark, sf), iterations=3), "score", places=6)
 
 
+@query
+def risk_whole(spark, sf):
+    return _round(centrality.risk(*testdata.graph(spark, sf)), "score", places=6)
+
+
 @query
 def top_risk(spark, sf):
     return reports.top_risk(testdata.observed_nodes(spark, sf), 10).select("node_id", "risk_score", "event_count")
