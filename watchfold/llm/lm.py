@@ -2,8 +2,10 @@
 
 Tokens are lower-cased words and one end for each document.  The model's output
 softmax is factored: a class by the hidden state, then a word of the class.  The
-``VOCABULARY`` most frequent tokens have words of their own; all others share the
-class "rare", and within it have their share of all training tokens:
+``VOCABULARY`` most frequent tokens, and all that occur ``OWN`` times or more in
+training as far as the head goes, have words of their own; classes grow with the
+square root of their number.  All others share the class "rare", and within it
+have their share of all training tokens:
 (c + 1) / (N_rare + V_rare + 1), which leaves room for one unknown word.  So the
 model's probabilities sum to one over the known words and the unknown one.
 
@@ -34,8 +36,10 @@ from pyspark.sql.functions import coalesce, col, lit
 from watchfold.shared import Scratch
 
 VOCABULARY = 4096
+OWN = 500
 HEAD = 300_000
 HIDDEN = 16
+#: Classes of ``VOCABULARY`` words.
 CLASSES = 48
 WINDOW = 32
 LANES = 512
@@ -60,8 +64,9 @@ class Model:
     def __init__(self, counts: np.ndarray, rare: int, seed: int = 3):
         """counts: of the vocabulary's tokens, the end and then the most frequent first; rare: of all others together."""
         rng, k = np.random.default_rng(seed), len(counts)
+        classes = max(CLASSES, round(CLASSES * (k / VOCABULARY) ** 0.5))
         mass = np.cumsum(np.sqrt(counts))
-        own = np.minimum((mass - np.sqrt(counts)) * CLASSES / max(mass[-1] if k else 1, 1e-9), CLASSES - 1).astype(np.int64)
+        own = np.minimum((mass - np.sqrt(counts)) * classes / max(mass[-1] if k else 1, 1e-9), classes - 1).astype(np.int64)
         own = np.unique(own, return_inverse=True)[1].ravel()  # no class is empty
         self.classes = int(own.max()) + 1 if k else 0
         self.class_of = np.append(own, self.classes)  # the last class is "rare"
@@ -314,14 +319,15 @@ class Corpus:
         words, n = head.column(0).to_pylist(), head.column(1).to_numpy()
         by = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))  # the end has a place of its own in any case
         self.words, self.head = [words[i] for i in by], n[by].astype(np.int64)
-        own = self.head[:VOCABULARY].astype(float)
+        self.own = max(VOCABULARY, 1 + int((self.head[1:] >= OWN).sum()))
+        own = self.head[:self.own].astype(float)
         self.rare_n, self.rare_v = int(self.n - own.sum()), self.v - len(own)
         self.model = Model(own, self.rare_n)
 
     def train(self) -> None:
         for r in range(ROUNDS):
             share = self.training.where(F.pmod(F.xxhash64("doc_id", F.length("text")), lit(ROUNDS)) == r).select("text")
-            sent = self.spark.sparkContext.broadcast((self.model, _pack(self.words[:VOCABULARY])))
+            sent = self.spark.sparkContext.broadcast((self.model, _pack(self.words[:self.own])))
             parts = share.mapInArrow(_trainer(sent, RATE / (1 + r)), "piece int, salt int, weights binary, tokens double")
             summed = parts.repartition(col("piece"), col("salt")).mapInArrow(_sum, "piece int, weights binary, tokens double").collect()
             if summed:
