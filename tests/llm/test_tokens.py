@@ -51,15 +51,19 @@ def test_bpe_operators(odd, none):
 
 
 def library_ids(texts):
-    library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
-    return [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_words_equal_the_library():
     assert [x.tolist() for x in words.load(WORDS).encode(odd_texts())] == library_ids(odd_texts())
 
 
+def test_strings_of_added_tokens_are_the_librarys():
+    texts = ["hello <|endoftext|> world", "<|startoftext|><|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>", "é <|startoftext|", "日本 <|endoftext|>", "<|endoftext|>" * 50]
+    assert [x.tolist() for x in words.load(WORDS).encode(texts)] == library_ids(texts)
+    assert library_ids(texts[:1]) == [[3306, 49407, 1002]]
+
+
 @pytest.mark.parametrize("limits, share", [(packing.Limits(), None), (packing.Limits(64, 3, 20), "doc_id % 2 = 0")])
 def test_packing_places_every_id_once_within_the_limits(docs, limits, share):
     from pyspark.sql.functions import expr

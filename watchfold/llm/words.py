@@ -1,11 +1,10 @@
 """Token ids by a file of the tokenizers library, each distinct piece encoded once.
 
-A text is encoded as ``Tokenizer.encode(text, add_special_tokens=False)`` does,
-with ``encode_special_tokens`` set: the strings of special tokens in a text are
-ordinary text.  Where the file's own steps are NFC, white space, lower case and a
-splitting pattern, and a text has no character over U+00FF (NFC changes none
-there and lower case is one to one), the text is split here and the library
-encodes each new piece; all other texts go to the library whole.
+A text is encoded as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
+Where the file's own steps are NFC, white space, lower case and a splitting
+pattern, and a text has no character over U+00FF (NFC changes none there and
+lower case is one to one) and no string of an added token, the text is split here
+and the library encodes each new piece; all other texts go to the library whole.
 """
 
 from __future__ import annotations
@@ -29,13 +28,15 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.split = None
         steps = (rules.get("normalizer") or {}).get("normalizers", [])
         pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        if [s["type"] for s in steps] == STEPS and pre.get("behavior") == "Removed" and pre.get("invert"):
+        # The library takes added tokens out of a text before all other steps, unless they are "normalized".
+        added = rules.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
+        if [s["type"] for s in steps] == STEPS and not any(t["normalized"] for t in added) and pre.get("behavior") == "Removed" and pre.get("invert"):
             # Brackets around single classes add nothing but would nest.
             pattern = re.sub(r"\[(\\p\{\w\})\]", r"\1", pre["pattern"]["Regex"])
             self.split = re.compile(_latin(pattern)).findall
@@ -70,7 +71,7 @@ class WordTokenizer:
             pieces, ends, whole = [], [0], {}
             for i, text in enumerate(block):
                 try:
-                    if self.split is None:
+                    if self.split is None or any(t in text for t in self.added):
                         raise UnicodeError
                     text.encode("latin-1")
                     pieces += self.split(text.lower())
