@@ -112,9 +112,10 @@ def test_coder_round_trip(n, kind):
         assert sum(map(len, payloads)) * 8 / n < 1
 
 
-@pytest.mark.parametrize("chars", [24_000_000, 60_000])
-def test_token_files_hold_all_ids_in_order(docs, chars, monkeypatch):
+@pytest.mark.parametrize("chars, group", [(20_000_000, tokenfile.GROUP), (60_000, tokenfile.GROUP), (400_000, 6 * mixing.BLOCK)])
+def test_token_files_hold_all_ids_in_order(docs, chars, group, monkeypatch):
     monkeypatch.setattr(tokenfile, "FILE_CHARS", chars)
+    monkeypatch.setattr(tokenfile, "GROUP", group)
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     got, at = {r.doc_id: r for r in tokenfile.round_trip(docs, WORDS, 2).collect()}, 0
     for r, ids in zip(rows, library_ids([r.text for r in rows])):
@@ -124,6 +125,16 @@ def test_token_files_hold_all_ids_in_order(docs, chars, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_a_repeated_id_shares_out_over_files(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_CHARS", 4000)
+    texts = [f"text number {i % 40} of one id" for i in range(900)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(8, "last")], "doc_id long, text string").repartition(5)
+    got = sorted(tokenfile.round_trip(docs, WORDS, 2).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]] and got[-1].doc_id == 8
+    want = sorted(zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for ids in library_ids([*texts, "last"]))
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
 def test_token_file_checksum(docs, spark, tmp_path):
     (uri, *rest), = tokenfile.write(docs.limit(20), WORDS, 2, f"file://{tmp_path}")
     path = uri.removeprefix("file://")

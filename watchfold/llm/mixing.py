@@ -9,10 +9,14 @@ read alone.  For each id three orders predict:
   counts adapt within the block, and each class's ids by the frequencies in the
   header.
 
-The probability of an id is the mixture of the three.  The weights belong to a
-set chosen by how often the order-2 and order-1 predictions have just held and
-whether they agree, and each set's weights adapt to which order was right.
-The mixture drives a range coder: 48-bit ranges, 16 bits leave at a time, and
+The probability of an id is the mixture of the three.  The weights of orders 2
+and 1 (order 0 has the rest) belong to a set chosen by how often the two
+predictions have just held and whether they agree; each set's weights move
+towards the order that was right.
+
+The mixture drives a range coder, one narrowing an id: the range is divided into
+2**37 units, the product of 2**11 of the mixture, 2**10 of the classes and 2**16
+of a class's ids.  Ranges have 46 to 62 bits; 16 bits leave at a time, and
 carries are settled when a block ends.
 
 The steps of a block depend on each other, so numpy takes the same step of all
@@ -29,13 +33,22 @@ import numpy as np
 BLOCK = 2048
 LANES = 4096
 CLASSES = 16
-SLOT_BITS = 10
+SLOT_BITS = 9
 SETS = 32
 REBUILD = 32
-_MIX_BITS, _CLASS_BITS = 15, 16
+_MIX_BITS, _CLASS_BITS, _SHARE_BITS = 11, 10, 16
+_REST_BITS = _CLASS_BITS + _SHARE_BITS
+_UNITS = np.uint64(_MIX_BITS + _REST_BITS)
+_LAST = (1 << _MIX_BITS + _REST_BITS) - 1
+#: Weights have 16 bits; what the two orders may have together leaves order 0 a 32nd of the range.
+_FULL, _RATE = (1 << 16) - (1 << 11), 5
 _U64 = np.uint64
-#: What a weight grows by when its order was right.
-_STEP = np.array([24, 24 << 20, 24 << 40], np.int64)
+_LOW = _U64(46)
+_MASK = _U64((1 << 46) - 1)
+#: Which order gives the id, from 2 * (order 2 is right) + (order 1 is right): 0 for order 2, 1 for order 1, 2 for order 0.
+_WHICH = np.array([2, 1, 0, 0])
+#: What the weights of order 1 and order 2 move towards.
+_TOWARDS = np.array([[0, _FULL, 0], [_FULL, 0, 0]], np.int32)
 
 
 class Frequencies:
@@ -43,10 +56,20 @@ class Frequencies:
 
     def __init__(self, ids: np.ndarray, classes: np.ndarray, share: np.ndarray):
         self.ids, self.classes, self.share = ids, classes, share
-        self.start = np.cumsum(share) - share - (np.cumsum(np.bincount(classes, share, CLASSES).astype(np.int64)) - np.bincount(classes, share, CLASSES).astype(np.int64))[classes]
-        self.edges = ((classes << _CLASS_BITS) + self.start).astype(np.int32)
+        own = np.bincount(classes, share, CLASSES).astype(np.int64)
+        self.start = np.cumsum(share) - share - (np.cumsum(own) - own)[classes]
+        # Of every id: its class, the start of its share (16 bits) and its width (17 bits).
         self.of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
-        self.of[ids] = np.arange(len(ids))
+        self.of[ids] = (classes << 33) + (self.start << 17) + share
+
+    def places(self) -> np.ndarray:
+        """Of every class and unit of its share, the id that the unit belongs to."""
+        out = np.zeros((CLASSES, 1 << _SHARE_BITS), np.int32)
+        for c in range(CLASSES):
+            own = self.classes == c
+            if own.any():
+                out[c] = np.repeat(self.ids[own], self.share[own])
+        return out.ravel()
 
     @classmethod
     def count(cls, stream: np.ndarray) -> "Frequencies":
@@ -56,9 +79,9 @@ class Frequencies:
         n = n[ids]
         classes = np.minimum((np.cumsum(n) - n) * CLASSES // max(int(n.sum()), 1), CLASSES - 1)
         total, size = np.bincount(classes, n, CLASSES), np.bincount(classes, minlength=CLASSES)
-        share = 1 + (n * ((1 << _CLASS_BITS) - size[classes]) / total[classes]).astype(np.int64)
+        share = 1 + (n * ((1 << _SHARE_BITS) - size[classes]) / total[classes]).astype(np.int64)
         first = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        share[first] += (1 << _CLASS_BITS) - np.bincount(classes, share, CLASSES).astype(np.int64)[classes[first]]
+        share[first] += (1 << _SHARE_BITS) - np.bincount(classes, share, CLASSES).astype(np.int64)[classes[first]]
         return cls(ids.astype(np.int64), classes.astype(np.int64), share)
 
     def to_bytes(self) -> bytes:
@@ -74,187 +97,203 @@ class Frequencies:
 
 
 class _Model:
-    """The predictions and weights of every lane."""
+    """The predictions and weights of every lane; rows of its arrays are order 1 and order 2."""
 
-    def __init__(self, lanes: int, freq: Frequencies):
-        slots = lanes << SLOT_BITS
-        self.freq, self.lane = freq, np.arange(lanes, dtype=np.int64)
-        self.sets = SETS * self.lane
+    def __init__(self, lanes: int):
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.lanes = lanes
+        self.slot_base = (self.lane << SLOT_BITS) + np.array([[0], [lanes << SLOT_BITS]])
         # A slot holds the id last seen, times 4, plus how often it has just held, 3 at most (0: none yet).
-        self.slots = [np.zeros(slots, np.int32), np.zeros(slots, np.int32)]
-        # A set's three weights, order 2 lowest, in one number of 20 bits each.
-        first = np.array([24 * k2 * k2 + ((0 if agree else 12 * k1) << 20) + (64 << 40) for k2 in range(4) for k1 in range(4) for agree in (0, 1)], np.int64)
-        self.weights = np.tile(first, lanes)
-        self.class_count = np.full((lanes, CLASSES), 4, np.int32)
+        self.slots = np.zeros(2 * lanes << SLOT_BITS, np.int32)
+        self.set_base = SETS * self.lane + np.array([[0], [SETS * lanes]])
+        parts = np.array([(0 if agree else 12 * k1, 24 * k2 * k2) for k2 in range(4) for k1 in range(4) for agree in (0, 1)])
+        first = (parts * _FULL // (parts.sum(axis=1) + 64)[:, None]).astype(np.int32).T
+        self.weights = np.concatenate([np.tile(first[0], lanes), np.tile(first[1], lanes)])
+        self.class_count = np.full(lanes * CLASSES, 4, np.int32)
+        self.classes_at = self.lane * CLASSES
+        self.cum_at = self.lane * (CLASSES + 1)
         self.one = np.zeros(lanes, np.uint32)
         self.two = np.zeros(lanes, np.uint32)
+        self.hashed = np.zeros((2, lanes), np.uint32)
         self.rebuild()
 
     def rebuild(self):
-        cum = np.zeros((len(self.lane), CLASSES + 1), np.int32)
-        np.cumsum(self.class_count, axis=1, out=cum[:, 1:])
+        """Starts of the classes, by their counts, each class one unit at least."""
+        cum = np.zeros((self.lanes, CLASSES + 1), np.int64)
+        np.cumsum(self.class_count.reshape(-1, CLASSES), axis=1, out=cum[:, 1:])
+        total = cum[:, -1:].copy()
+        cum *= (1 << _CLASS_BITS) - CLASSES
+        cum //= total
+        cum += np.arange(CLASSES + 1)
         self.cum = cum.ravel()  # of lane i from i * (CLASSES + 1)
 
     def predict(self, n: int):
-        """For the first n lanes: both predictions, and the widths of their parts of the range."""
-        base = self.lane[:n] << SLOT_BITS
-        h = self.one[:n] * np.uint32(0x9E3779B1)
-        self.c1 = base + (h >> np.uint32(32 - SLOT_BITS))
-        h += self.two[:n] * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
-        self.c2 = base + (h >> np.uint32(32 - SLOT_BITS))
-        one, two = self.slots[0].take(self.c1), self.slots[1].take(self.c2)
-        self.k1, self.k2, self.p1, self.p2 = one & 3, two & 3, one >> 2, two >> 2
-        agree = (self.p1 == self.p2) & (np.minimum(self.k1, self.k2) > 0)
-        self.w = self.sets[:n] + (self.k2 * 8 + self.k1 * 2 + agree)
-        self.now = now = self.weights.take(self.w)
-        w2, w1 = now & 0xFFFFF, now >> 20 & 0xFFFFF
-        total = w2 + w1 + (now >> 40)
-        f2 = (w2 << _MIX_BITS) // total
-        return f2, (w1 << _MIX_BITS) // total
-
-    def update(self, ids: np.ndarray, which: np.ndarray):
-        """which: 0 where order 2 was right, 1 where only order 1 was, 2 where order 0 gave the id."""
+        """For the first n lanes: where order 1's part of the mixture starts, and where order 0's does."""
+        h = self.hashed[:, :n]
+        np.multiply(self.one[:n], np.uint32(0x9E3779B1), out=h[0])
+        np.multiply(self.two[:n], np.uint32(0x85EBCA6B), out=h[1])
+        h[1] += h[0]
+        h[1] += np.uint32(0x27D4EB2F)
+        self.at = (h >> np.uint32(32 - SLOT_BITS)) + self.slot_base[:, :n]
+        slot = self.slots.take(self.at)
+        self.k, self.p = slot & 3, slot >> 2
+        own = (self.k[1] << 3) + (self.k[0] << 1)
+        own += self.p[0] == self.p[1]
+        self.own = self.set_base[:, :n] + own
+        self.now = self.weights.take(self.own)
+        f = (self.now >> 16 - _MIX_BITS) + 1
+        return f[1], f[0] + f[1]
+
+    def update(self, ids: np.ndarray, right: np.ndarray, which: np.ndarray):
+        """right: whether each order's prediction is the id; which: see ``_WHICH``."""
         n = len(ids)
-        now = self.now + _STEP.take(which)
-        full = np.flatnonzero((now >> 40) + (now >> 20 & 0xFFFFF) + (now & 0xFFFFF) > 4000)
-        if len(full):  # halve each, a weight above zero to one at least
-            old = now[full]
-            now[full] = sum(((old >> k & 0xFFFFF) + 1 >> 1) << k for k in (0, 20, 40))
-        self.weights[self.w] = now
-        slot = (ids << 2) + 1
-        for slots, k, at, pred in ((self.slots[0], self.k1, self.c1, self.p1), (self.slots[1], self.k2, self.c2, self.p2)):
-            slots[at] = slot + (pred == ids) * np.minimum(k, 2)
+        move = _TOWARDS.take(which, axis=1)
+        move -= self.now
+        move >>= _RATE
+        move += self.now
+        self.weights[self.own] = move
+        held = np.minimum(self.k, 2)
+        held *= right
+        held += (ids << 2) + 1
+        self.slots[self.at] = held
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
 
 
-class _Encoder:
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, _U64)
-        self.range = np.full(lanes, (1 << 48) - 1, _U64)
-        self.lanes, self.digits = [], []
-
-    def put(self, lane, start, width, unit):
-        """Narrow ``lane``'s ranges to [start, start + width) times unit."""
-        low = self.low[lane] + unit * start.astype(_U64)
-        rng = unit * width.astype(_U64)
-        out = np.flatnonzero(rng < _U64(1 << 32))
-        if len(out):
-            self.lanes.append((out if isinstance(lane, slice) else lane[out]).astype(np.int32))
-            self.digits.append((low[out] >> _U64(32)).astype(np.int32))
-            low[out] = (low[out] & _U64(0xFFFFFFFF)) << _U64(16)
-            rng[out] <<= _U64(16)
-        self.low[lane], self.range[lane] = low, rng
-
-    def end(self) -> tuple[np.ndarray, np.ndarray]:
-        """All lanes' digits in a row, and each lane's number of them."""
-        lane = np.arange(len(self.low), dtype=np.int32)
-        for _ in range(3):
-            self.lanes.append(lane)
-            self.digits.append((self.low >> _U64(32)).astype(np.int32))
-            self.low = (self.low & _U64(0xFFFFFFFF)) << _U64(16)
-        lane = np.concatenate(self.lanes)
-        digits = np.concatenate(self.digits)[np.argsort(lane.astype(np.uint16), kind="stable")]
-        while len(carry := np.flatnonzero(digits > 0xFFFF)):
-            digits[carry] &= 0xFFFF
-            digits[carry - 1] += 1
-        return digits.astype("<u2"), np.bincount(lane, minlength=len(self.low))
-
-
-class _Decoder:
-    def __init__(self, digits: np.ndarray, count: np.ndarray):
-        self.digits = np.concatenate([digits, np.zeros(4, digits.dtype)])
-        at = np.cumsum(count) - count
-        self.code = sum(self.digits[at + k].astype(_U64) << _U64(16 * (2 - k)) for k in range(3))
-        self.at = at + 3
-        self.range = np.full(len(count), (1 << 48) - 1, _U64)
-
-    def take(self, lane, start, width, unit):
-        code = self.code[lane] - unit * start.astype(_U64)
-        rng = unit * width.astype(_U64)
-        more = np.flatnonzero(rng < _U64(1 << 32))
-        if len(more):
-            own = more if isinstance(lane, slice) else lane[more]
-            at = self.at[own]
-            code[more] = code[more] << _U64(16) | self.digits[np.minimum(at, len(self.digits) - 1)]
-            rng[more] <<= _U64(16)
-            self.at[own] = at + 1
-        self.code[lane], self.range[lane] = code, rng
-
-
-def _part(which, f2, f1):
-    """Start and width of each one's part of the mixture: order 2, order 1, order 0."""
-    both, zero, one = f2 + f1, which == 0, which == 1
-    return np.where(zero, 0, np.where(one, f2, both)), np.where(zero, f2, np.where(one, f1, (1 << _MIX_BITS) - both))
+def _share(first: np.ndarray, wide: np.ndarray, own: np.ndarray, both: np.ndarray) -> None:
+    """From start and width of classes to those of ids' order-0 parts of the range, in units; own: of ``Frequencies.of``."""
+    first <<= _SHARE_BITS
+    first += (own >> 17 & 0xFFFF) * wide
+    wide *= own & 0x1FFFF
+    rest = (1 << _MIX_BITS) - both
+    first *= rest
+    wide *= rest
+    first += both.astype(np.int64) << _REST_BITS
+
+
+def _order12(first: np.ndarray, wide: np.ndarray, some: np.ndarray, which: np.ndarray, f2: np.ndarray, both: np.ndarray) -> None:
+    """Put the parts of orders 2 and 1 in place for the lanes ``some``, whose id they give."""
+    two, a, b = which[some] == 0, f2[some].astype(np.int64), both[some].astype(np.int64)
+    first[some] = np.where(two, 0, a) << _REST_BITS
+    wide[some] = np.where(two, a, b - a) << _REST_BITS
+
+
+def _learn(model: _Model, t: int, c: np.ndarray, sym: np.ndarray, right: np.ndarray, which: np.ndarray) -> None:
+    model.class_count[model.classes_at[:len(c)] + c] += (which == 2) * np.int32(8)
+    if t % REBUILD == REBUILD - 1:
+        model.rebuild()
+    model.update(sym, right, which)
+
+
+def _turned(a: np.ndarray) -> np.ndarray:
+    """The transpose, copied in tiles that a cache holds."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for i in range(0, a.shape[0], 64):
+        for j in range(0, a.shape[1], 64):
+            out[j:j + 64, i:i + 64] = a[i:i + 64, j:j + 64].T
+    return out
 
 
 def encode(ids: np.ndarray, freq: Frequencies) -> list[bytes]:
-    """The payload of every block of BLOCK ids; at most LANES blocks."""
+    """The payload of every block of BLOCK ids."""
     lanes = -(-len(ids) // BLOCK)
     steps = np.zeros(lanes * BLOCK, np.int32)
     steps[:len(ids)] = ids
-    steps = np.ascontiguousarray(steps.reshape(lanes, BLOCK).T)
+    steps = _turned(steps.reshape(lanes, BLOCK))
     last = len(ids) - (lanes - 1) * BLOCK
-    model, coder = _Model(lanes, freq), _Encoder(lanes)
+    model = _Model(lanes)
+    all_low, all_range = np.zeros(lanes, _U64), np.full(lanes, 1 << 62, _U64)
+    out_lanes, out_digits = [], []
     for t in range(min(BLOCK, len(ids))):
         n = lanes if t < last else lanes - 1
-        lane, sym = slice(n), steps[t, :n]
-        f2, f1 = model.predict(n)
-        which = np.where((model.p2 == sym) & (f2 > 0), 0, np.where((model.p1 == sym) & (f1 > 0), 1, 2))
-        start, width = _part(which, f2, f1)
-        coder.put(lane, start, width, coder.range[:n] >> _U64(_MIX_BITS))
-        if len(esc := np.flatnonzero(which == 2)):
-            k = freq.of[sym[esc]]
-            c = freq.classes[k]
-            at = esc * (CLASSES + 1)
-            low, high = model.cum.take(at + c), model.cum.take(at + c + 1)
-            coder.put(esc, low, high - low, coder.range[esc] // model.cum.take(at + CLASSES).astype(_U64))
-            coder.put(esc, freq.start[k], freq.share[k], coder.range[esc] >> _U64(_CLASS_BITS))
-            model.class_count.ravel()[esc * CLASSES + c] += 8
-        if t % REBUILD == REBUILD - 1:
-            model.rebuild()
-        model.update(sym, which)
-    digits, count = coder.end()
-    cut = np.r_[0, np.cumsum(count)]
-    return [digits[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+        sym, low, rng = steps[t, :n], all_low[:n], all_range[:n]
+        f2, both = model.predict(n)
+        right = model.p == sym
+        which = _WHICH.take(right[1] * np.int8(2) + right[0])
+        own = freq.of.take(sym)
+        c = own >> 33
+        at = model.cum_at[:n] + c
+        first, wide = model.cum.take(at), model.cum.take(at + 1)
+        wide -= first
+        _share(first, wide, own, both)
+        _order12(first, wide, np.flatnonzero(which < 2), which, f2, both)
+        unit = rng >> _UNITS
+        low += unit * first.view(_U64)
+        np.multiply(unit, wide.view(_U64), out=rng)
+        out = np.flatnonzero(rng <= _MASK)
+        while len(out):
+            out_lanes.append(out.astype(np.uint16))
+            own = low[out]
+            out_digits.append((own >> _LOW).astype(np.int32))
+            low[out] = (own & _MASK) << _U64(16)
+            own = rng[out] << _U64(16)
+            rng[out] = own
+            out = out[own <= _MASK]
+        _learn(model, t, c, sym, right, which)
+    for _ in range(4):
+        out_lanes.append(model.lane.astype(np.uint16))
+        out_digits.append((all_low >> _LOW).astype(np.int32))
+        all_low = (all_low & _MASK) << _U64(16)
+    lane = np.concatenate(out_lanes)
+    digits = np.concatenate(out_digits)[np.argsort(lane, kind="stable")]
+    while len(carry := np.flatnonzero(digits > 0xFFFF)):
+        digits[carry] &= 0xFFFF
+        digits[carry - 1] += 1
+    raw, cut = digits.astype("<u2").tobytes(), np.r_[0, 2 * np.cumsum(np.bincount(lane, minlength=lanes))].tolist()
+    return [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
 def decode(payloads: list[bytes], n_ids: int, freq: Frequencies) -> np.ndarray:
     """The ids of blocks encoded together; all but the last hold BLOCK ids."""
     lanes = len(payloads)
-    digits = np.frombuffer(b"".join(payloads), "<u2")
-    coder = _Decoder(digits, np.fromiter((len(p) // 2 for p in payloads), np.int64, lanes))
-    model, last = _Model(lanes, freq), n_ids - (lanes - 1) * BLOCK
+    digits = np.concatenate([np.frombuffer(b"".join(payloads), "<u2"), np.zeros(4, "<u2")]).astype(_U64)
+    count = np.fromiter((len(p) // 2 for p in payloads), np.int64, lanes)
+    # A code has 62 bits: three digits and 14 bits of the next, so later digits are read 2 bits off.
+    all_at = np.cumsum(count) - count
+    all_code = sum(digits[all_at + k] << _U64(46 - 16 * k) for k in range(3)) + (digits[all_at + 3] >> _U64(2))
+    digits = (digits[:-1] << _U64(14) & _U64(0xFFFF)) + (digits[1:] >> _U64(2))
+    all_at += 3
+    all_range = np.full(lanes, 1 << 62, _U64)
+    model, last, places = _Model(lanes), n_ids - (lanes - 1) * BLOCK, freq.places()
     out = np.zeros((min(BLOCK, n_ids), lanes), np.int32)
     for t in range(len(out)):
         n = lanes if t < last else lanes - 1
-        lane = slice(n)
-        f2, f1 = model.predict(n)
-        unit = coder.range[:n] >> _U64(_MIX_BITS)
-        code = coder.code[:n]
-        which = 2 - (code < unit * (f2 + f1).astype(_U64)).astype(np.int64) - (code < unit * f2.astype(_U64))
-        start, width = _part(which, f2, f1)
-        coder.take(lane, start, width, unit)
-        sym = np.where(which == 0, model.p2, model.p1)
-        if len(esc := np.flatnonzero(which == 2)):
-            at = esc * (CLASSES + 1)
-            all_classes = model.cum.take(at + CLASSES)
-            unit = coder.range[esc] // all_classes.astype(_U64)
-            slot = np.minimum((coder.code[esc] // unit).astype(np.int64), all_classes - 1)
-            c = at.copy()
-            for jump in (8, 4, 2, 1):
-                c += jump * (model.cum.take(c + jump) <= slot)
-            low, high = model.cum.take(c), model.cum.take(c + 1)
-            c -= at
-            coder.take(esc, low, high - low, unit)
-            unit = coder.range[esc] >> _U64(_CLASS_BITS)
-            slot = np.minimum((coder.code[esc] // unit).astype(np.int64), (1 << _CLASS_BITS) - 1)
-            k = np.searchsorted(freq.edges, ((c << _CLASS_BITS) + slot).astype(np.int32), "right") - 1
-            coder.take(esc, freq.start[k], freq.share[k], unit)
-            sym[esc] = freq.ids[k]
-            model.class_count.ravel()[esc * CLASSES + c] += 8
-        if t % REBUILD == REBUILD - 1:
-            model.rebuild()
-        model.update(sym, which)
+        code, rng, at_digit = all_code[:n], all_range[:n], all_at[:n]
+        f2, both = model.predict(n)
+        unit = rng >> _UNITS
+        at = np.minimum((code // unit).view(np.int64), _LAST)
+        mixed = at >> _REST_BITS
+        # Quotients of numbers under 2**53 are exact to the whole number in double precision here, as the divisors are small.
+        at -= both.astype(np.int64) << _REST_BITS
+        np.maximum(at, 0, out=at)
+        at = (at / ((1 << _MIX_BITS) - both)).astype(np.int64)
+        low, c = at >> _SHARE_BITS, model.cum_at[:n].copy()
+        for jump in (8, 4, 2, 1):
+            c += jump * (model.cum.take(c + jump) <= low)
+        first, wide = model.cum.take(c), model.cum.take(c + 1)
+        wide -= first
+        c -= model.cum_at[:n]
+        at -= first << _SHARE_BITS
+        at = (at / wide).astype(np.int64)
+        at += c << _SHARE_BITS
+        sym = places.take(at)
+        some = np.flatnonzero(mixed < both)
+        sym[some] = model.p[(mixed[some] < f2[some]).astype(np.int64), some]
+        right = model.p == sym
+        which = np.full(n, 2)
+        which[some] = np.where(mixed[some] < f2[some], 0, 1)
+        _share(first, wide, freq.of.take(sym), both)
+        _order12(first, wide, some, which, f2, both)
+        code -= unit * first.view(_U64)
+        np.multiply(unit, wide.view(_U64), out=rng)
+        more = np.flatnonzero(rng <= _MASK)
+        while len(more):
+            at = at_digit[more]
+            code[more] = (code[more] << _U64(16)) + digits.take(at, mode="clip")
+            at_digit[more] = at + 1
+            own = rng[more] << _U64(16)
+            rng[more] = own
+            more = more[own <= _MASK]
+        _learn(model, t, c, sym, right, which)
         out[t, :n] = sym
-    return np.ascontiguousarray(out.T).ravel()[:n_ids] if lanes > 1 else out.ravel()
+    return _turned(out).ravel()[:n_ids] if lanes > 1 else out.ravel()

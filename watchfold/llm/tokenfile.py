@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import coalesce, col, lit
 
@@ -27,8 +28,9 @@ from watchfold.shared import Scratch
 
 MAGIC = b"WFTOK1\n\0"
 GROUP = mixing.BLOCK * mixing.LANES
-#: Characters of text that a file is planned to hold.
-FILE_CHARS = 24_000_000
+#: Characters of text that a file is planned to hold, and the most files.
+FILE_CHARS = 20_000_000
+FILES = 1 << 16
 _TAIL = "<QQQI"
 
 
@@ -62,69 +64,76 @@ def _read_groups(f, end: int):
         yield ids
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Upper document ids of all files but the last, so that files hold about FILE_CHARS each."""
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = max(1, -(-chars // FILE_CHARS))
-    if n == 1:
-        return np.zeros(0, np.int64)
-    points = [k / n for k in range(1, n)]
-    return np.unique(docs.agg(F.percentile_approx(id_col, points, lit(max(10_000, 20 * n)))).first()[0] or [])
+def _files(docs: DataFrame) -> int:
+    """Files of about FILE_CHARS characters each, FILES at most; beyond that files grow."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(FILES, max(1, -(-chars // FILE_CHARS)))
+
+
+class _Writer:
+    """One file: the ids and the document table of the rows that a task is given."""
+
+    def __init__(self, folder: str):
+        self.uri = files.new_name(folder, ".wftok")
+        self.out = files.create(self.uri)
+        self.out.write(MAGIC)
+        self.keys, self.counts, self.held, self.n_held, self.ids = [], [], [], 0, 0
+
+    def add(self, keys: list, ids: list[np.ndarray]) -> None:
+        self.keys += keys
+        for own in ids:
+            self.counts.append(len(own))
+            self.held.append(own)
+            self.n_held += len(own)
+            # Two groups are held, so that the last ones can share what is left.
+            if self.n_held >= 2 * GROUP:
+                self._groups(GROUP, self.n_held - GROUP)
+
+    def _groups(self, size: int, until: int) -> None:
+        """Write groups of ``size`` ids until at most ``until`` ids are held."""
+        ids, at = np.concatenate(self.held), 0
+        while len(ids) - at > until:
+            _write_group(self.out, ids[at:at + size])
+            at += size
+        self.ids += min(at, len(ids))
+        self.held = [ids[at:]]
+        self.n_held = len(self.held[0])
+
+    def close(self) -> tuple:
+        if self.n_held:  # one group, or two halves
+            half = -(-self.n_held // 2 // mixing.BLOCK) * mixing.BLOCK
+            self._groups(self.n_held if self.n_held <= 1.25 * GROUP else half, 0)
+        null = np.array([k is None for k in self.keys], np.uint8)
+        table = zlib.compress(np.array([k or 0 for k in self.keys], "<i8").tobytes() + null.tobytes() + np.array(self.counts, "<u4").tobytes(), 1)
+        at = self.out.tell()
+        self.out.write(table + struct.pack(_TAIL, at, len(self.keys), self.ids, zlib.crc32(table)))
+        self.out.close()
+        return self.uri, len(self.keys), self.ids
 
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
     """Write the ids of every whole text, ``end_id`` after each; the files in order as (uri, documents, ids).
 
-    Ties of the document id are ordered by the ids themselves; null ids come first.
+    Ties of the document id are ordered by a hash of the text; null ids come first.
+    Files are ranges of (id, hash, row), so rows that repeat an id may share out over files.
     """
-    bounds = _plan(docs, id_col, text_col)
-
-    def tokenize(batches):
-        tokenizer = words.load(path)
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            ids = [np.append(x, tokenizer.dtype.type(end_id)).tobytes() for x in tokenizer.encode(b.column(1).to_pylist())]
-            part = np.searchsorted(bounds, np.array([-2**63 if k is None else k for k in keys], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
     def store(batches):
-        dtype = words.load(path).dtype
-        out = uri = None
-        keys, counts, held, n_held, n_ids, part = [], [], [], 0, 0, 0
+        tokenizer, writer = words.load(path), None
+        end = np.array([end_id], tokenizer.dtype)
         for b in batches:
-            if out is None:
-                part = b.column(0)[0].as_py()
-                out = files.create(uri := files.new_name(folder, ".wftok"))
-                out.write(MAGIC)
-            keys += b.column(1).to_pylist()
-            for raw in b.column(2).to_pylist():
-                held.append(np.frombuffer(raw, dtype))
-                counts.append(len(held[-1]))
-                n_held += counts[-1]
-                if n_held >= GROUP:
-                    ids = np.concatenate(held)
-                    for at in range(0, n_held - GROUP + 1, GROUP):
-                        _write_group(out, ids[at:at + GROUP])
-                    n_ids += n_held - n_held % GROUP
-                    held, n_held = [ids[len(ids) - n_held % GROUP:]], n_held % GROUP
-        if out is None:
-            return
-        if n_held:
-            _write_group(out, np.concatenate(held))
-            n_ids += n_held
-        null = np.array([k is None for k in keys], np.uint8)
-        table = zlib.compress(np.array([k or 0 for k in keys], "<i8").tobytes() + null.tobytes() + np.array(counts, "<u4").tobytes(), 1)
-        at = out.tell()
-        out.write(table + struct.pack(_TAIL, at, len(keys), n_ids, zlib.crc32(table)))
-        out.close()
-        yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, "documents": len(keys), "ids": n_ids}], schema=pa.schema(
-            [("part", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
-
-    kind = docs.schema[id_col].dataType.simpleString()
+            writer = writer or _Writer(folder)
+            writer.add(b.column(0).to_pylist(), [np.concatenate([x, end]) for x in tokenizer.encode(b.column(1).to_pylist())])
+        if writer:
+            uri, documents, ids = writer.close()
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "uri": uri, "documents": documents, "ids": ids}], schema=pa.schema(
+                [("part", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
+
     texts = docs.select(col(id_col).alias("doc_id"), coalesce(col(text_col), lit("")).alias("text"))
-    tokens = texts.mapInArrow(tokenize, f"part int, doc_id {kind}, ids binary")
-    ordered = tokens.repartitionById(len(bounds) + 1, col("part")).sortWithinPartitions("doc_id", "ids")
-    # One row per file of FILE_CHARS characters reaches the driver.
+    keys = ["doc_id", "hash", "row"]
+    keyed = texts.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(_files(texts), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    # One row per file reaches the driver, FILES rows at most.
     written = ordered.mapInArrow(store, "part int, uri string, documents long, ids long").collect()
     return [(r.uri, r.documents, r.ids) for r in sorted(written, key=lambda r: r.part)]
 
