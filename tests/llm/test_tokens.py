@@ -58,6 +58,21 @@ def test_words_equal_the_library():
     assert [x.tolist() for x in words.load(WORDS).encode(odd_texts())] == library_ids(odd_texts())
 
 
+def test_splitting_equals_the_library():
+    rng = random.Random(9)
+    signs = ["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "\n", "9", "½", "é", "À", "!", "''", "\x00", "\x85", "\xa0", "abcdefghijklmno", "x", "µ", "\x1f"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(800)] + ["'", "", "it's", "'s"]
+    tokenizer = words.WordTokenizer(WORDS)
+    tokenizer.table.most = 50  # starts anew again and again
+    for at in range(0, len(texts), 100):
+        assert [x.tolist() for x in tokenizer.encode(texts[at:at + 100])] == library_ids(texts[at:at + 100])
+    texts = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 18))) for _ in range(40_000)]  # the table grows
+    tokenizer = words.WordTokenizer(WORDS)
+    for part in (texts[:15_000], texts[10_000:]):
+        assert [x.tolist() for x in tokenizer.encode([" ".join(part[at:at + 50]) for at in range(0, len(part), 50)])] == \
+            library_ids([" ".join(part[at:at + 50]) for at in range(0, len(part), 50)])
+
+
 def test_strings_of_added_tokens_are_the_librarys():
     texts = ["hello <|endoftext|> world", "<|startoftext|><|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>", "é <|startoftext|", "日本 <|endoftext|>", "<|endoftext|>" * 50]
     assert [x.tolist() for x in words.load(WORDS).encode(texts)] == library_ids(texts)
