@@ -1,14 +1,17 @@
-"""Secret scans: fixed patterns, and a character convolutional network over what they leave.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate.
 
-The patterns' findings always stand.  Every other candidate, a run of 16 or more
-key characters with a digit in it, goes with its surrounding text to a small
-convolutional network in numpy; those over the threshold are added as kind "cnn".
+The patterns' findings always stand.  Further candidates are runs of 16 or more
+key characters, with a digit or a change from lower to upper case in them, and of
+runs that findings touch the parts beside the findings.  Findings and candidates
+all go with their surrounding text to a small convolutional network in numpy;
+candidates over the threshold are added as kind "cnn".
 
 The network is trained here on labelled findings (``labelled_findings``: secrets
 and look-alikes in running text, from stated rules and a fixed seed, since the
 tables hold no labels for secrets).  A second set calibrates its scores by Platt
-scaling, and the threshold is the largest at which recall on that set is at
-least ``RECALL``.
+scaling, and the threshold is the largest at which ``find`` catches a share of
+``RECALL`` at least of those secrets of that set which the patterns don't find; one
+that no candidate meets counts as missed.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _RUN = r"[A-Za-z0-9+/_.=-]{16,}"
 _PATTERNS = {"assign": re.compile(_ASSIGN, re.I | re.A), "access": re.compile(r"AKIA[A-Z0-9]+"),
-             "hex": re.compile(r"[0-9a-f]{24,}"), "run": re.compile(_RUN), "digit": re.compile(r"[0-9]")}
+             "hex": re.compile(r"[0-9a-f]{24,}"), "run": re.compile(_RUN), "key": re.compile(r"[0-9]|[a-z][A-Z]")}
+LEAST = 16
 
 
 def scan(text: str) -> tuple[list[tuple], list[tuple]]:
@@ -51,47 +55,60 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
         if len(run) >= 24:
             found += [(at + m.start(), 2, at + m.end()) for m in p["hex"].finditer(run)]
     found.sort()
+    # Findings and runs side by side, both in order: what lies between findings is left of a run.
+    k = covered = 0
     for at, run in runs:
-        if p["digit"].search(run) and not any(s < at + len(run) and at < e for s, _, e in found):
-            candidates.append((at, at + len(run)))
+        end = at + len(run)
+        while k < len(found) and found[k][0] < end:
+            candidates += _left(text, max(at, covered), found[k][0])
+            covered = max(covered, found[k][2])
+            k += 1
+        candidates += _left(text, max(at, covered), end)
     return found, candidates
 
 
+def _left(text: str, start: int, end: int) -> list[tuple]:
+    return [(start, end)] if end - start >= LEAST and _PATTERNS["key"].search(text, start, end) else []
+
+
 # -- the network ---------------------------------------------------------------------------------
 
 _CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \"':=/+-_.@,;()<>{}[]\n"
 _OTHER, _NONE = len(_CHARS), len(_CHARS) + 1
-_CODES = np.full(128, _OTHER, np.int64)
+_CODES = np.full(128, _OTHER, np.uint8)
 _CODES[[ord(c) for c in _CHARS]] = np.arange(len(_CHARS))
 _EMBED, _SPAN, _FILTERS, _HIDDEN = 8, 5, 24, 16
 
 
+#: Positions that are convolved at a time.
+_SLICE = 1 << 16
+
+
 def _codes(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 128, _CODES[np.minimum(points, 127)], _OTHER)
+    out = np.empty(len(text), np.uint8)
+    for at in range(0, len(text), _SLICE):
+        points = np.frombuffer(text[at:at + _SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
+        out[at:at + _SLICE] = np.where(points < 128, _CODES[np.minimum(points, 127)], _OTHER)
+    return out
 
 
-def windows(text_spans: list[tuple[str, int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def windows(text_spans: list[tuple[str, int, int]]):
     """(rows, codes, inside) for spans of similar width: the whole span and CONTEXT characters around it."""
-    cut = []
-    for text, start, end in text_spans:
-        low, high = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
-        inside = np.zeros(high - low, np.float32)
-        inside[start - low:end - low] = 1
-        cut.append((_codes(text[low:high]), inside))
     by_width: dict[int, list[int]] = {}
-    for i, (c, _) in enumerate(cut):
-        by_width.setdefault(max(64, 1 << (len(c) - 1).bit_length()), []).append(i)
-    out = []
+    for i, (text, start, end) in enumerate(text_spans):
+        size = min(len(text), end + CONTEXT) - max(0, start - CONTEXT)
+        by_width.setdefault(max(64, 1 << (size - 1).bit_length()) if size <= _SLICE else size, []).append(i)
     for width, rows in by_width.items():
         step = max(1, (1 << 18) // width)
         for at in range(0, len(rows), step):
             part = rows[at:at + step]
-            codes, inside = np.full((len(part), width), _NONE), np.zeros((len(part), width), np.float32)
+            codes, inside = np.full((len(part), width), _NONE, np.uint8), np.zeros((len(part), width), bool)
             for j, i in enumerate(part):
-                codes[j, :len(cut[i][0])], inside[j, :len(cut[i][0])] = cut[i]
-            out.append((np.array(part), codes, inside))
-    return out
+                text, start, end = text_spans[i]
+                low = max(0, start - CONTEXT)
+                own = _codes(text[low:end + CONTEXT])
+                codes[j, :len(own)], inside[j, start - low:end - low] = own, True
+            yield np.array(part), codes, inside
 
 
 @dataclass
@@ -115,9 +132,24 @@ class Network:
         return hidden @ w3 + b3, (win, at, pooled, hidden)
 
     def logits(self, text_spans: list[tuple[str, int, int]]) -> np.ndarray:
+        embed, w1, b1, w2, b2, w3, b3 = self.weights
+        # The convolution by the input's parts: what a character, or being inside, adds at each place of the window.
+        by_place = w1.reshape(_EMBED + 1, _SPAN, _FILTERS)
+        adds = np.einsum("ce,ekf->kcf", embed, by_place[:_EMBED])
         out = np.zeros(len(text_spans))
         for rows, codes, inside in windows(text_spans):
-            out[rows] = self._forward(codes, inside)[0]
+            last = codes.shape[1] - _SPAN + 1
+            pooled = np.zeros((len(rows), _FILTERS))
+            step = max(256, _SLICE // len(rows))
+            for at in range(0, last, step):  # slices of the positions, of which only the largest value stays
+                to = min(last, at + step)
+                z = b1 + np.zeros((len(rows), to - at, _FILTERS))
+                for k in range(_SPAN):
+                    z += adds[k].take(codes[:, at + k:to + k], axis=0)
+                    z += inside[:, at + k:to + k, None] * by_place[_EMBED, k]
+                z[codes[:, at:to] == _NONE] = 0
+                np.maximum(pooled, z.max(axis=1), out=pooled)
+            out[rows] = np.maximum(pooled @ w2 + b2, 0) @ w3 + b3
         return out
 
     def scores(self, text_spans: list[tuple[str, int, int]]) -> np.ndarray:
@@ -151,6 +183,10 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: rng.choice(["ghp_", "sk-", "xox-", "pk_live_", "AIza", "glpat-"]) + pick(b64 + "_-", int(rng.integers(20, 40))),
         lambda: "eyJ" + pick(b64, 20) + "." + pick(b64, 30) + "." + pick(b64 + "_-", 40),
         lambda: pick(hexes.upper(), int(rng.choice([32, 40, 64]))),
+        # Such as the patterns find; the network scores them too.
+        lambda: pick(hexes, int(rng.choice([24, 32, 40, 64]))),
+        lambda: "AKIA" + pick(upper + digits, 16),
+        lambda: rng.choice(["password", "secret", "token", "API_KEY"]) + rng.choice(["=", ": ", ' = "']) + pick(b64, int(rng.integers(8, 40))),
     ]
     plain = [
         lambda: pick(digits, int(rng.integers(16, 20))),
@@ -163,6 +199,9 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: "-" * int(rng.integers(8, 30)) + f"{rng.integers(1, 99)}" + "-" * 10,
         lambda: "+" + pick(digits, 3) + "-" + pick(digits, 4) + "-" + pick(digits, 8),
         lambda: "0." + pick(digits, int(rng.integers(15, 18))),
+        lambda: word() + "".join(word().title() for _ in range(int(rng.integers(2, 5)))),
+        lambda: word() + word() + word() + "." + word().title() + word(),
+        lambda: "/".join(word() for _ in range(int(rng.integers(3, 7)))) + rng.choice(["", "/" + word().title(), f"/{rng.integers(1, 99)}"]),
     ]
     lead = ["key ", "credential: ", "auth=", "export KEY=", "Authorization: Bearer ", "pwd ", '"', "use ", ""]
     out = []
@@ -217,24 +256,32 @@ def train(findings: int = FINDINGS, recall: float = RECALL, seed: int = 7, epoch
         net.scale, net.shift = net.scale - move[0], net.shift - move[1]
         if np.abs(move).max() < 1e-6:
             break
-    positive = np.sort(net.scores([d[:3] for d in held if d[3]]))
-    net.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))])
+    # Over all that find would see of the held texts: a secret's score is the best of the candidates that meet it.
+    best = []
+    for text, start, end, secret in held:
+        if secret:
+            found, candidates = scan(text)
+            if any(s < end and start < e for s, _, e in found):
+                continue
+            own = [(text, s, e) for s, e in candidates if s < end and start < e]
+            best.append(float(net.scores(own).max()) if own else 0.0)
+    best = np.sort(best)[::-1]
+    net.threshold = float(best[int(np.ceil(recall * len(best))) - 1])
     return net
 
 
 # -- the operators -------------------------------------------------------------------------------
 
 def find(texts: list[str], net: Network) -> list[list[tuple]]:
-    """Of each text, all findings (start, kind number, end, score), in order; the patterns' score is 1."""
-    out, spans, owner = [], [], []
+    """Of each text, all findings (start, kind number, end, the network's score), in order."""
+    out, spans, owner = [[] for _ in texts], [], []
     for i, text in enumerate(texts):
         found, candidates = scan(text)
-        out.append([(s, k, e, 1.0) for s, k, e in found])
-        spans += [(text, s, e) for s, e in candidates]
-        owner += [i] * len(candidates)
-    for i, (_, s, e), score in zip(owner, spans, net.scores(spans) if spans else ()):
-        if score >= net.threshold:
-            out[i].append((s, 3, e, float(score)))
+        spans += [(text, s, e) for s, _, e in found] + [(text, s, e) for s, e in candidates]
+        owner += [(i, k) for _, k, _ in found] + [(i, 3)] * len(candidates)
+    for (i, kind), (_, s, e), score in zip(owner, spans, net.scores(spans) if spans else ()):
+        if kind < 3 or score >= net.threshold:
+            out[i].append((s, kind, e, float(score)))
     for found in out:
         found.sort()
     return out
@@ -245,9 +292,10 @@ def _joined(found: list[tuple]) -> str:
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: Network | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, n_cnn, base_sha256, spans.
+    """One row per input row: doc_id, n_assign, n_access, n_hex, n_cnn, base_sha256, spans, scores.
 
-    Offsets are code points, the end exclusive.  Nulls: a null text is empty (no
+    Offsets are code points, the end exclusive; scores are the network's for all
+    spans, in their order, with four decimals.  Nulls: a null text is empty (no
     findings; base_sha256 is that of the empty string); a null id is kept.
     Repeated rows get a row each.  Empty table: empty result.
     """
@@ -257,17 +305,17 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net
         for b in batches:
             rows = []
             for found in find(b.column(1).to_pylist(), net):
-                n = [sum(f[1] == k for f in found) for k in range(4)]
+                n = np.bincount([f[1] for f in found], minlength=4).tolist()
                 base = _joined([f for f in found if f[1] < 3])
-                rows.append((*n, hashlib.sha256(base.encode()).hexdigest(), _joined(found)))
-            cols = list(zip(*rows)) or [()] * 6
+                rows.append((*n, hashlib.sha256(base.encode()).hexdigest(), _joined(found), ",".join(f"{f[3]:.4f}" for f in found)))
+            cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names)
 
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_cnn", "base_sha256", "spans"]
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_cnn", "base_sha256", "spans", "scores"]
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(col(id_col).alias("doc_id"), coalesce(col(text_col), lit("")).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string")
+        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string, scores string")
 
 
 def mask(text: str, found: list[tuple]) -> str:
@@ -283,7 +331,9 @@ def mask(text: str, found: list[tuple]) -> str:
 def masked_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", net: Network | None = None) -> DataFrame:
     """All rows and columns of ``docs``, secrets in the text masked and ``chars_col``, if there, counted anew.
 
-    A null text stays null; rows without findings stay as they are.
+    Nulls: a null text stays null.  Rows without findings stay as they are; repeated
+    rows stay each.  Other columns, whatever their names, pass through.  Empty
+    table: empty result.
     """
     net = net or train()
     at, count = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
