@@ -209,7 +209,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; null ids only where no member has one."""
-    group = near_duplicates(docs, id_col, text_col).where(col("doc_id").eqNullSafe(col("component_id")))
-    keep = group.select(col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(keep, col(id_col).eqNullSafe(col("_keep_id")), "left_semi")
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id, which is null only where no member has one.
+
+    Nulls: a null text is empty, linked like any other.  Of rows that repeat the
+    smallest id the first written stays.  Empty table: empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    rows = scratch.write("rows", docs.select(F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("key"),
+                                             col(text_col).alias("text"), F.struct("*").alias("doc")))
+    kept = near_duplicates(rows, "key", "text").where(col("doc_id").eqNullSafe(col("component_id"))).select(col("doc_id.row").alias("kept"))
+    return rows.join(kept, col("key.row") == col("kept"), "left_semi").select("doc.*")

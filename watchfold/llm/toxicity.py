@@ -1,7 +1,8 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-A token is a run of word characters, in lower case; its features are the word
-and its prefixes, hashed.  The field has two labels (plain, toxic) and learns
+A token is a run of word characters, in lower case; a run of more than ``LONGEST``
+is cut into further tokens, and of scripts without spaces each character is one.
+Its features are the whole word and its prefixes, hashed.  The field has two labels (plain, toxic) and learns
 from labelled tokens: those of labelled documents, where a token of a toxic
 document is toxic if its word or a prefix of it is far more frequent in toxic
 documents than in others.  Forward-backward marginals of all tokens of a whole
@@ -9,8 +10,9 @@ text give the offending spans, and their sums and largest values over the text's
 distinct words go to a logistic model of the document's label.  The two are fit
 on separate parts of the sample.
 
-The sample is bounded by ``SAMPLE`` labelled documents, chosen by a hash of their
-ids; everything else runs over all documents.  Labels, language, source and id
+The sample is bounded by ``SAMPLE`` labelled documents and ``SAMPLE_CHARS``
+characters, chosen by a hash of their ids, one row for each; everything else runs
+over all documents.  Labels, language, source and id
 are inputs of no score.
 """
 
@@ -25,9 +27,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import broadcast, coalesce, col, lit
 
 from watchfold.llm.pieces import _Numbers
+from watchfold.shared import Scratch
 
-#: Labelled documents that are learned from, at most.
+#: Labelled documents that are learned from, and their characters, at most.
 SAMPLE = 6000
+SAMPLE_CHARS = 32_000_000
+LONGEST = 32
 #: A word or prefix is toxic from so many toxic documents, and so many times the frequency in others, on.
 LEAST_DOCS, LIFT = 4, 8.0
 WINDOW, NEGATIVES = 64, 0.15
@@ -38,21 +43,48 @@ SPAN = 0.5
 #: Characters of text whose tokens are scored at a time; whole documents only.
 CHARS = 24_000_000
 
-_words = re.compile(r"\w+").findall
+_RUN = rf"\w{{1,{LONGEST}}}"
+_run = re.compile(_RUN)
+#: Scripts that don't part words: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_unspaced = re.compile(f"[{_UNSPACED}]").search
+_any = re.compile(f"(?=[{_UNSPACED}])\\w|(?:(?![{_UNSPACED}])\\w){{1,{LONGEST}}}")
+
+
+def _pattern(text: str) -> re.Pattern:
+    return _run if text.isascii() or not _unspaced(text) else _any
+
+
+class _Lowered:
+    """Numbers of words, those of equal lower case the same."""
+
+    def __init__(self):
+        self.given, self.lowered = _Numbers(), _Numbers()
+
+    def __call__(self, found: list[list[str]]) -> list[np.ndarray]:
+        rows = [np.fromiter(map(self.given.__getitem__, own), np.int64, len(own)) for own in found]
+        to = np.fromiter((self.lowered[w.lower()] for w in self.given.new), np.int64, len(self.given.new))
+        return [to[own] for own in rows]
+
+    @property
+    def words(self) -> list[str]:
+        return self.lowered.new
 
 
 def features(words: list[str]) -> np.ndarray:
     """Buckets of each word's features, 0 for none: its prefixes, then the word."""
     size = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.array(words, "U16").view(np.uint32).reshape(len(words), 16).astype(np.uint64) if words else np.zeros((0, 16), np.uint64)
+    wide = max(int(size.max()) if len(size) else 0, max(PREFIXES))
+    codes = np.array(words, f"U{wide}").view(np.uint32).reshape(len(words), wide).astype(np.uint64) if words else np.zeros((0, wide), np.uint64)
     out, h = np.zeros((len(words), len(PREFIXES) + 1), np.int64), np.full(len(words), 0x1505, np.uint64)
-    for k in range(16):
-        h = (h ^ codes[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    for k in range(wide):
+        on = size > k
+        h = np.where(on, (h ^ codes[:, k]) * np.uint64(0x9E3779B97F4A7C15), h)
+        h ^= np.where(on, h >> np.uint64(29), np.uint64(0))
         if k + 1 in PREFIXES:
             bucket = 1 + ((h + np.uint64(k)) % np.uint64(BUCKETS - 1)).astype(np.int64)
-            out[:, PREFIXES.index(k + 1)] = np.where(size > k, bucket, 0)
-    out[:, -1] = 1 + ((h ^ np.minimum(size, 40).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BUCKETS - 1)).astype(np.int64)
+            out[:, PREFIXES.index(k + 1)] = np.where(on, bucket, 0)
+    out[:, -1] = 1 + ((h ^ size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BUCKETS - 1)).astype(np.int64)
     return out
 
 
@@ -128,20 +160,17 @@ class Field:
     document: np.ndarray | None = None
 
     def tag(self, texts: list[str]):
-        """Of all tokens in a row: word number and P(toxic); each text's number of tokens; the distinct words."""
-        numbers, number, length = _Numbers(), [], []
-        for text in texts:
-            found = _words(text.lower())
-            number.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
-            length.append(len(found))
-        number, length = np.concatenate(number) if number else np.zeros(0, np.int64), np.array(length, np.int64)
-        words = numbers.new
+        """Of all tokens in a row: word number and P(toxic); each text's number of tokens."""
+        lowered = _Lowered()
+        number = lowered([_pattern(text).findall(text) for text in texts])
+        length = np.fromiter(map(len, number), np.int64, len(number))
+        number, words = np.concatenate(number) if number else np.zeros(0, np.int64), lowered.words
         emission = np.concatenate([self.weights[features(words[at:at + 50_000])].sum(axis=1) for at in range(0, len(words), 50_000)]
                                   or [np.zeros(0)])
         packed = Packed.of(length)
         tokens = np.empty(len(number))
         tokens[packed.place] = emission[number]
-        return number, marginals(tokens, packed, self.trans)[packed.place], length, words
+        return number, marginals(tokens, packed, self.trans)[packed.place], length
 
     def inputs(self, number, p, length) -> np.ndarray:
         """What the document model sees of each text: its distinct words' sum and three largest marginals, by length too."""
@@ -193,11 +222,11 @@ def train(sample: list[tuple[str, int]], seed: int = 11, steps: int = 60) -> Fie
     """Fit the field on two thirds of labelled texts (text, toxic), the document model on the others."""
     rng = np.random.default_rng(seed)
     fold = rng.random(len(sample)) < 2 / 3
-    numbers, rows = _Numbers(), []
-    for (text, toxic), own in zip(sample, fold):
-        if own and (found := _words(text.lower())):
-            rows.append((np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)), int(toxic)))
-    words = numbers.new
+    lowered = _Lowered()
+    chosen = [(text, int(toxic)) for (text, toxic), own in zip(sample, fold) if own]
+    numbers = lowered([_pattern(text).findall(text) for text, _ in chosen])
+    rows = [(own.astype(np.int32), toxic) for own, (_, toxic) in zip(numbers, chosen) if len(own)]
+    words = lowered.words
     buckets = features(words)
     marks = _mine([(np.unique(number), toxic) for number, toxic in rows], buckets)
     marked = marks[buckets].any(axis=1)
@@ -241,7 +270,7 @@ def train(sample: list[tuple[str, int]], seed: int = 11, steps: int = 60) -> Fie
     held = [s for s, own in zip(sample, fold) if not own] or sample
     parts = []
     for at in range(0, len(held), 500):
-        number, p, size, _ = field.tag([t for t, _ in held[at:at + 500]])
+        number, p, size = field.tag([t for t, _ in held[at:at + 500]])
         parts.append(field.inputs(number, p, size))
     x, y = np.concatenate(parts) if parts else np.zeros((0, 6)), np.array([t for _, t in held], float)
     field.mean, field.spread = x.mean(axis=0) if len(x) else np.zeros(6), x.std(axis=0) + 1e-6 if len(x) else np.ones(6)
@@ -263,13 +292,26 @@ def held_out(id_col: str) -> Column:
     return coalesce(F.crc32(col(id_col).cast("string")) % 3 == 1, lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """Train on at most ``sample`` labelled documents that aren't held out, those whose ids hash lowest."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        chars: int = SAMPLE_CHARS) -> Field:
+    """Train on at most ``sample`` labelled documents that aren't held out, those whose ids hash lowest, of ``chars`` characters together at most.
+
+    Nulls: null labels and ids teach nothing, a null text is empty.  Of labels that
+    repeat an id the largest counts, of its documents the one whose text hashes
+    lowest.  Empty tables: a field that has learned nothing.
+    """
     known = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # the bound that lets it be broadcast
-    rows = docs.join(broadcast(chosen), col(id_col) == col("_id")).select(col(text_col), "_toxic", "_id")
-    got = sorted((r[2], r[0] or "", r[1]) for r in rows.collect())
+    known = known.groupBy(col(id_col).alias("labelled")).agg(F.max(label_col).cast("int").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)  # the bound that lets it be broadcast
+    texts = docs.select(col(id_col).alias("id"), coalesce(col(text_col), lit("")).alias("text"))
+    rows = texts.join(broadcast(chosen), col("id") == col("labelled")).groupBy("id", "toxic").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.write("sample", rows)
+    size = rows.select(F.xxhash64("id").alias("h"), "id", F.length("text").alias("n")).toPandas().sort_values(["h", "id"])
+    own = size["id"][size["n"].cumsum() <= chars].tolist()
+    got = sorted((r.id, r.text, r.toxic) for r in rows.where(col("id").isin(own)).collect()) if own else []
+    scratch.drop("sample")
     return train([(text, toxic) for _, text, toxic in got])
 
 
@@ -301,20 +343,23 @@ def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
 
 def assess(texts: list[str], field: Field) -> tuple[list[float], list[str]]:
     """Each text's score and offending spans."""
-    number, p, length, _ = field.tag(texts)
+    number, p, length = field.tag(texts)
     score = field.scores(field.inputs(number, p, length))
     ends = np.cumsum(length)
     spans = [""] * len(texts)
     for i in np.unique(np.searchsorted(ends, np.flatnonzero(p >= SPAN), "right")).tolist():
         own = p[ends[i] - length[i]:ends[i]]
-        found = list(re.finditer(r"\w+", texts[i]))
-        if len(found) == len(own):  # lower case may split a word elsewhere, as of a dotted capital I
-            spans[i] = ",".join(f"{found[k].start()}:{found[k].end()}" for k in np.flatnonzero(own >= SPAN).tolist())
+        found = _pattern(texts[i]).finditer(texts[i])
+        spans[i] = ",".join(f"{m.start()}:{m.end()}" for m, bad in zip(found, (own >= SPAN).tolist()) if bad)
     return score.tolist(), spans
 
 
 def accepted(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under REJECT, all columns as they were."""
+    """The rows of ``docs`` that score under REJECT, all columns as they were, whatever their names.
+
+    Nulls: a null text scores as an empty one and stays null.  Repeated rows are
+    judged each.  Empty table: empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
