@@ -143,9 +143,9 @@ def test_toxicity_is_learned(spark, odd, none):
 def test_gradients_equal_differences(monkeypatch):
     monkeypatch.setattr(lm, "CLASSES", 6)
     rng = np.random.default_rng(0)
-    model = lm.Model(np.sort(rng.integers(1, 100, 40))[::-1].astype(float), 30)
+    model = lm.Model(np.sort(rng.integers(1, 100, 40))[::-1].astype(float), np.array([20.0, 7, 3]))
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    tokens, active = next(lm._windows([rng.integers(0, 41, 9), rng.integers(0, 41, 5)]))
+    tokens, active = next(lm._windows([rng.integers(0, 43, 9), rng.integers(0, 43, 5)]))
     targets = np.concatenate([tokens[t, :n] for t, n in enumerate(active)])
     forward = lambda: model.steps(tokens, active, np.full(2, model.start), np.zeros((2, lm.HIDDEN)), True)
     states, kept = forward()
@@ -163,7 +163,7 @@ def test_gradients_equal_differences(monkeypatch):
         model.w[name][at] = old
         assert np.isclose((values[0] - values[1]) / 2e-5, grads[name][at], atol=1e-6)
     one = forward()[0][0][:1]
-    assert np.isclose(sum(np.exp(model.outputs([one], np.array([t]), False)[0]) for t in range(41)), 1)
+    assert np.isclose(sum(np.exp(model.outputs([one], np.array([t]), False)[0]) for t in range(43)), 1)
 
 
 @pytest.mark.parametrize("head", [300_000, 5000])

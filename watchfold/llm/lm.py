@@ -2,18 +2,23 @@
 
 Tokens are lower-cased words and one end for each document.  The model's output
 softmax is factored: a class by the hidden state, then a word of the class.  The
-``VOCABULARY`` most frequent tokens, and all that occur ``OWN`` times or more in
-training as far as the head goes, have words of their own; classes grow with the
-square root of their number.  All others share the class "rare", and within it
-have their share of all training tokens:
-(c + 1) / (N_rare + V_rare + 1), which leaves room for one unknown word.  So the
-model's probabilities sum to one over the known words and the unknown one.
+``VOCABULARY`` most frequent tokens have words of their own, in classes by
+frequency, and the state gives the word too.  All other words, however many, fall
+into ``RARE`` classes by their last letters: the state gives the class, and so an
+input and a target of its own, and within a class a word has its share of the
+class's training tokens, (c + 1) / (N_class + V_class + 1), which leaves room for
+one unknown word.  So the weights don't grow with the corpus, but the words and
+counts that they rest on do, and the model's probabilities sum to one over the
+known words and one unknown word a class.
 
 Training is truncated backpropagation through windows of ``WINDOW`` steps, the
 state carried from window to window, on all training documents: each of
-``ROUNDS`` rounds takes a share of them; every task trains a copy of the weights
-on its documents and the copies' mean, weighted by tokens, starts the next round.
-The sums are shuffled in ``PIECES`` parts, so no task or driver holds all copies.
+``ROUNDS`` rounds takes a share of them.  A round's documents are dealt to
+trainers by a hash of id and text, one for ``TRAINER_TOKENS`` tokens and at most
+``TRAINERS``; every trainer learns on a copy of the weights, its documents in the
+order of that hash, and the copies' mean, weighted by tokens, starts the next
+round.  So the model doesn't depend on how rows lie in partitions.  The sums are
+shuffled in ``PIECES`` parts, so no task or driver holds all copies.
 
 Counts of all words are a table.  The ``HEAD`` most frequent go to the tasks (the
 bound that lets them be broadcast); the other words of a document are looked up
@@ -22,10 +27,10 @@ by a join on the word, whose keys are rare and therefore never hot.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ from pyspark.sql.functions import coalesce, col, lit
 from watchfold.shared import Scratch
 
 VOCABULARY = 4096
-OWN = 500
+RARE = 256
 HEAD = 300_000
 HIDDEN = 16
 #: Classes of ``VOCABULARY`` words.
@@ -46,6 +51,7 @@ LANES = 512
 ROUNDS = 3
 RATE = 0.1
 PIECES = 16
+TRAINER_TOKENS, TRAINERS = 4_000_000, (8, 4096)
 #: Distinct words that a counting task holds, and documents that are scored side by side.
 DISTINCT = 400_000
 SCORED = 2048
@@ -61,23 +67,22 @@ class Model:
 
     NAMES = ("x", "u", "classes", "words")
 
-    def __init__(self, counts: np.ndarray, rare: int, seed: int = 3):
-        """counts: of the vocabulary's tokens, the end and then the most frequent first; rare: of all others together."""
+    def __init__(self, counts: np.ndarray, rare: np.ndarray, seed: int = 3):
+        """counts: of the vocabulary's tokens, the end and then the most frequent first; rare: of all others, by class."""
         rng, k = np.random.default_rng(seed), len(counts)
-        classes = max(CLASSES, round(CLASSES * (k / VOCABULARY) ** 0.5))
         mass = np.cumsum(np.sqrt(counts))
-        own = np.minimum((mass - np.sqrt(counts)) * classes / max(mass[-1] if k else 1, 1e-9), classes - 1).astype(np.int64)
+        own = np.minimum((mass - np.sqrt(counts)) * CLASSES / max(mass[-1] if k else 1, 1e-9), CLASSES - 1).astype(np.int64)
         own = np.unique(own, return_inverse=True)[1].ravel()  # no class is empty
         self.classes = int(own.max()) + 1 if k else 0
-        self.class_of = np.append(own, self.classes)  # the last class is "rare"
+        self.class_of = np.concatenate([own, self.classes + np.arange(len(rare))])  # rare classes come last
         self.low = np.searchsorted(own, np.arange(self.classes + 1))
-        by_class = np.append(np.bincount(own, counts, self.classes), rare) + 0.5
+        by_class = np.concatenate([np.bincount(own, counts, self.classes), rare]) + 0.5
         f32 = lambda a: np.asarray(a, np.float32)
         self.w = {
-            "x": f32(rng.normal(0, 0.1, (k + 2, 3 * HIDDEN))), "u": f32(rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN))),
-            "classes": f32(np.vstack([rng.normal(0, 0.1, (HIDDEN, self.classes + 1)), np.log(by_class / by_class.sum())])),
+            "x": f32(rng.normal(0, 0.1, (k + len(rare) + 1, 3 * HIDDEN))), "u": f32(rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN))),
+            "classes": f32(np.vstack([rng.normal(0, 0.1, (HIDDEN, len(by_class))), np.log(by_class / by_class.sum())])),
             "words": f32(np.column_stack([rng.normal(0, 0.1, (k, HIDDEN)), np.log(counts / by_class[own]) if k else np.zeros(0)]))}
-        self.rare, self.start = k, k + 1
+        self.rare, self.start = k, k + len(rare)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[n].ravel() for n in self.NAMES])
@@ -285,15 +290,27 @@ def _count(batches):
         yield batch()
 
 
+class _Places(dict):
+    """Word -> its place in a list; of other words minus one, less their rare class."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - zlib.crc32(word[-3:]) % RARE
+
+
 @lru_cache(maxsize=2)
 def _lookup(words: bytes):
-    """A function from words to their places in the packed list, -1 for other words."""
-    get = {w: i for i, w in enumerate(zlib.decompress(words).split(b"\n"))}.get
-    return lambda own: np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
+    """A function from words to their places in the packed list, or what ``_Places`` gives for others."""
+    get = _Places((w, i) for i, w in enumerate(zlib.decompress(words).split(b"\n")[:-1])).__getitem__
+    return lambda own: np.fromiter(map(get, own), np.int32, len(own))
 
 
 def _pack(words: list[bytes]) -> bytes:
-    return zlib.compress(b"\n".join(words), 1)
+    return zlib.compress(b"".join(w + b"\n" for w in words), 1)
+
+
+def _rare_class(word: Column) -> Column:
+    """What ``_Places`` takes as the class of a word that isn't in its list."""
+    return F.pmod(F.crc32(F.when(F.length(word) > 3, F.substring(word, -3, 3)).otherwise(word)), F.lit(RARE))
 
 
 class Corpus:
@@ -319,30 +336,42 @@ class Corpus:
         words, n = head.column(0).to_pylist(), head.column(1).to_numpy()
         by = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))  # the end has a place of its own in any case
         self.words, self.head = [words[i] for i in by], n[by].astype(np.int64)
-        self.own = max(VOCABULARY, 1 + int((self.head[1:] >= OWN).sum()))
-        own = self.head[:self.own].astype(float)
-        self.rare_n, self.rare_v = int(self.n - own.sum()), self.v - len(own)
+        own = self.head[:VOCABULARY].astype(float)
+        # Tokens and words of every rare class: all of the class less those with words of their own.
+        self.rare_n, self.rare_v = np.zeros(RARE), np.zeros(RARE)
+        for r in self.counts.groupBy(_rare_class(col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count(lit(1)).alias("v")).collect():
+            self.rare_n[r.c], self.rare_v[r.c] = r.n, r.v
+        for word, n in zip(self.words[:VOCABULARY], own):
+            c = zlib.crc32(word[-3:]) % RARE
+            self.rare_n[c] -= n
+            self.rare_v[c] -= 1
         self.model = Model(own, self.rare_n)
 
     def train(self) -> None:
+        trainers = int(min(max(self.n // TRAINER_TOKENS, TRAINERS[0]), TRAINERS[1]))
+        keyed = self.training.withColumn("h", F.xxhash64("doc_id", "text"))
         for r in range(ROUNDS):
-            share = self.training.where(F.pmod(F.xxhash64("doc_id", F.length("text")), lit(ROUNDS)) == r).select("text")
-            sent = self.spark.sparkContext.broadcast((self.model, _pack(self.words[:self.own])))
-            parts = share.mapInArrow(_trainer(sent, RATE / (1 + r)), "piece int, salt int, weights binary, tokens double")
-            summed = parts.repartition(col("piece"), col("salt")).mapInArrow(_sum, "piece int, weights binary, tokens double").collect()
+            share = keyed.where(F.pmod("h", lit(ROUNDS)) == r).withColumn("trainer", F.pmod(F.shiftrightunsigned("h", 8), lit(trainers)).cast("int"))
+            # A trainer's documents are sorted, so that their order is the same wherever they lay.
+            share = share.repartitionById(trainers, col("trainer")).sortWithinPartitions("h").select("trainer", "text")
+            sent = self.spark.sparkContext.broadcast((self.model, _pack(self.words[:VOCABULARY])))
+            parts = share.mapInArrow(_trainer(sent, RATE / (1 + r)), "piece int, trainer int, weights binary, tokens double")
+            parts = parts.repartition(4 * PIECES, col("piece"), col("trainer") % 4).sortWithinPartitions("piece", "trainer")
+            summed = parts.mapInArrow(_sum, "piece int, first int, weights binary, tokens double").collect()
             if summed:
                 pieces, n = {}, {}
-                for row in summed:  # PIECES parts by 4 salts at most from each task that sums
+                for row in sorted(summed, key=lambda row: (row.piece, row.first)):  # PIECES parts by 4 at most from each task that sums
                     pieces[row.piece] = pieces.get(row.piece, 0) + np.frombuffer(row.weights, np.float64)
                     n[row.piece] = n.get(row.piece, 0) + row.tokens
                 self.model.set_flat(np.concatenate([pieces[k] / n[k] for k in sorted(pieces)]))
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-        sent = self.spark.sparkContext.broadcast((self.model, _pack(self.words), self.head))
+        room = np.log10(self.rare_n + self.rare_v + 1)
+        sent = self.spark.sparkContext.broadcast((self.model, _pack(self.words), self.head, room))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        rows = self.docs.mapInArrow(_scorer(sent), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, n_rare long, "
-                                    "n_other long, logs double, rare_logs double, model double, word binary, n long")
+        rows = self.docs.mapInArrow(_scorer(sent), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
+                                    "logs double, model double, word binary, n long")
         rows = self.scratch.write("scored", rows)
         words = rows.where(col("word").isNotNull()).select("row", "word", col("n").alias("times"))
         c = coalesce("n", lit(0))
@@ -351,70 +380,77 @@ class Corpus:
         docs = rows.where(col("word").isNull()).drop("word", "n").join(found, "row", "left")
         more_logs, more_known = coalesce("more_logs", lit(0.0)), coalesce("more_known", lit(0))
         base = col("logs") + more_logs - col("n_tokens") * float(np.log10(self.n + self.v + 1))
-        model = col("model") + col("rare_logs") + more_logs - col("n_rare") * float(np.log10(self.rare_n + self.rare_v + 1))
         return docs.select("doc_id", "held_out", "n_tokens", (col("n_known") + more_known).alias("n_known"),
-                           lit(self.n).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"))
+                           lit(self.n).cast("long").alias("train_tokens"), base.alias("base_score"), (col("model") + more_logs).alias("score"))
 
 
 def _trainer(sent, rate: float):
     def run(batches):
         model, words = sent.value
-        place, trainer = _lookup(words), Trainer(model, rate)
+        # A copy: a worker process keeps what was sent for the next trainer that it runs.
+        place, trainer, number = _lookup(words), Trainer(copy.deepcopy(model), rate), None
+        docs = []
         for b in batches:
-            docs = []
-            for text in b.column(0).to_pylist():
+            number = b.column(0)[0].as_py()
+            for text in b.column(1).to_pylist():
                 own = place(tokens(text))
-                docs.append(np.where(own < 0, np.int32(model.rare), own))
+                docs.append(np.where(own < 0, np.int32(model.rare - 1) - own, own))  # a rare class's place
                 if len(docs) == 16 * LANES:
                     trainer.learn(docs)
                     docs = []
-            trainer.learn(docs)
+        trainer.learn(docs)
         if trainer.tokens:
-            salt = TaskContext.get().partitionId() % 4
-            flat = np.array_split(model.flat().astype(np.float64) * trainer.tokens, PIECES)
+            flat = np.array_split(trainer.model.flat().astype(np.float64) * trainer.tokens, PIECES)
             yield pa.RecordBatch.from_pylist(
-                [{"piece": k, "salt": salt, "weights": part.tobytes(), "tokens": float(trainer.tokens)} for k, part in enumerate(flat)],
-                schema=pa.schema([("piece", pa.int32()), ("salt", pa.int32()), ("weights", pa.binary()), ("tokens", pa.float64())]))
+                [{"piece": k, "trainer": number, "weights": part.tobytes(), "tokens": float(trainer.tokens)} for k, part in enumerate(flat)],
+                schema=pa.schema([("piece", pa.int32()), ("trainer", pa.int32()), ("weights", pa.binary()), ("tokens", pa.float64())]))
 
     return run
 
 
 def _sum(batches):
-    sums, n = {}, {}
+    sums, n, first = {}, {}, {}
     for b in batches:
-        for piece, weights, count in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for piece, trainer, weights, count in zip(*(c.to_pylist() for c in b.columns)):
+            first.setdefault(piece, trainer)
             sums[piece] = sums.get(piece, 0) + np.frombuffer(weights, np.float64)
             n[piece] = n.get(piece, 0) + count
     if sums:
-        yield pa.RecordBatch.from_pylist([{"piece": k, "weights": sums[k].tobytes(), "tokens": n[k]} for k in sums], schema=pa.schema(
-            [("piece", pa.int32()), ("weights", pa.binary()), ("tokens", pa.float64())]))
+        yield pa.RecordBatch.from_pylist([{"piece": k, "first": first[k], "weights": sums[k].tobytes(), "tokens": n[k]} for k in sums], schema=pa.schema(
+            [("piece", pa.int32()), ("first", pa.int32()), ("weights", pa.binary()), ("tokens", pa.float64())]))
 
 
 def _scorer(sent):
     def run(batches):
-        model, words, counts = sent.value
-        place, logs = _lookup(words), np.log10(np.append(counts, 0) + 1.0)
+        model, words, counts, room = sent.value
+        place, logs = _lookup(words), np.log10(counts + 1.0)
+        # Of each word of the head: its place in the model, a rare class's for those without words of their own.
+        in_model = np.arange(len(counts), dtype=np.int32)
+        in_model[VOCABULARY:] = [model.rare + zlib.crc32(w[-3:]) % RARE for w in zlib.decompress(words).split(b"\n")[VOCABULARY:-1]]
         row = TaskContext.get().partitionId() << 33
         for b in (b.slice(at, 2 * SCORED) for b in batches for at in range(0, b.num_rows, 2 * SCORED)):
             docs, facts, other = [], [], []
             for text in b.column(2).to_pylist():
                 own = tokens(text)
                 at = place(own)
-                known = at >= 0
-                rare = ~known | (at >= model.rare)
-                missing = np.flatnonzero(~known)
-                docs.append(np.where(rare, np.int32(model.rare), at))
-                facts.append((row, len(own), int(known.sum()), int(rare.sum()), len(missing), float(logs[at[known]].sum()), float(logs[at[known & rare]].sum())))
+                missing = np.flatnonzero(at < 0)
+                known = at[at >= 0]
+                at[at >= 0] = in_model[known]
+                at[missing] = model.rare - 1 - at[missing]
+                docs.append(at)
+                own_logs, rare = float(logs[known].sum()), at[at >= model.rare] - model.rare
+                more = float(logs[known[known >= VOCABULARY]].sum()) - float(room[rare].sum())
+                facts.append((row, len(own), len(known), own_logs, more))
                 if len(missing):
                     other.append((row, Counter(map(own.__getitem__, missing.tolist()))))
                 row += 1
-            model_logs = score(model, docs) / np.log(10)
-            f = list(zip(*facts)) or [()] * 7
+            f = list(zip(*facts)) or [()] * 5
+            scores = score(model, docs) / np.log(10) + np.array(f[4], float)
             n = len(facts)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             facts = [pa.array(values, kind) for values, kind in zip(f, kinds)]
             yield pa.RecordBatch.from_arrays(
-                [facts[0], b.column(0), b.column(1), *facts[1:], pa.array(model_logs), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+                [facts[0], b.column(0), b.column(1), *facts[1:], pa.array(scores), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
             if other:
                 size = [len(c) for _, c in other]
                 n = sum(size)
@@ -423,7 +459,7 @@ def _scorer(sent):
                      *(pa.nulls(n, kind) for kind in kinds[1:]), pa.nulls(n, pa.float64()),
                      pa.array([w for _, c in other for w in c], pa.binary()), pa.array([k for _, c in other for k in c.values()], pa.int64())], names)
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_rare", "n_other", "logs", "rare_logs", "model", "word", "n"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "model", "word", "n"]
     return run
 
 
