@@ -22,8 +22,8 @@ def brute_score(corpus, counts, text):
     rare = [word for word in counts if word not in own]
     n, v = Counter(), Counter()
     for word in rare:
-        n[zlib.crc32(word[-3:]) % lm.RARE] += counts[word]
-        v[zlib.crc32(word[-3:]) % lm.RARE] += 1
+        n[zlib.crc32(word[-2:]) % lm.RARE] += counts[word]
+        v[zlib.crc32(word[-2:]) % lm.RARE] += 1
     h, before, hid = np.zeros(lm.HIDDEN), m.start, lm.HIDDEN
     for word in lm.tokens(text):
         g, s = w["x"][before], h @ w["u"]
@@ -31,7 +31,7 @@ def brute_score(corpus, counts, text):
         new = np.tanh(g[2 * hid:] + r * s[2 * hid:])
         h = z * h + (1 - z) * new
         one = np.append(h, 1)
-        c = zlib.crc32(word[-3:]) % lm.RARE
+        c = zlib.crc32(word[-2:]) % lm.RARE
         before = own[word] if word in own else m.rare + c
         p = np.exp(one @ w["classes"])
         logs += math.log10(p[m.class_of[before]] / p.sum())

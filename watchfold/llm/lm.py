@@ -38,16 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import coalesce, col, lit
 
+from watchfold.llm.threads import one_thread
 from watchfold.shared import Scratch
 
 VOCABULARY = 4096
-RARE = 256
+RARE = 96
 HEAD = 300_000
 HIDDEN = 16
 #: Classes of ``VOCABULARY`` words.
 CLASSES = 48
 WINDOW = 32
 LANES = 512
+#: States whose class logits are held at a time; they fit a core's cache.
+ROWS = 512
 ROUNDS = 3
 RATE = 0.1
 PIECES = 16
@@ -121,17 +124,22 @@ class Model:
 
     def outputs(self, states: list[np.ndarray], targets: np.ndarray, learn: bool):
         """Log-probabilities of the targets; with ``learn`` also the gradients of minus their sum."""
-        classes, words, own = self.w["classes"], self.w["words"], self.class_of[targets]
+        classes, words, own = _bounded(self.w["classes"], 0), _bounded(self.w["words"], 1), self.class_of[targets]
         states = _with_one(states)
-        logits = states @ classes
-        logp, total = _softmax(logits, np.arange(len(targets)), own)
-        grads = {}
+        logp = np.empty(len(targets), states.dtype)
         if learn:
-            # The narrow factor is divided by the sums, not the wide one.
-            logits[np.arange(len(targets)), own] -= total
-            grads["classes"], grads["words"] = (states / total[:, None]).T @ logits, np.zeros_like(words)
-            d_states = logits @ classes[:-1].T
-            d_states /= total[:, None]
+            grads = {"classes": np.zeros_like(classes), "words": np.zeros_like(words)}
+            d_states = np.empty((len(targets), HIDDEN), states.dtype)
+        for a in range(0, len(targets), ROWS):
+            some, mine = states[a:a + ROWS], own[a:a + ROWS]
+            logits, at = some @ classes, np.arange(len(mine))
+            logp[a:a + ROWS], total = _softmax(logits, at, mine)
+            if learn:
+                # The narrow factor is divided by the sums, not the wide one.
+                logits[at, mine] -= total
+                total = total[:, None]
+                grads["classes"] += (some / total).T @ logits
+                d_states[a:a + ROWS] = (logits @ classes[:-1].T) / total
         order = np.argsort(own.astype(np.int16), kind="stable")
         cut = np.searchsorted(own[order], np.arange(self.classes + 1))
         for c in range(self.classes):
@@ -179,12 +187,14 @@ def _with_one(states: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the picked columns; ``logits`` become their exponentials, whose sums are returned too.
+def _bounded(weights: np.ndarray, axis: int) -> np.ndarray:
+    """The weights, those of logits that could pass 60 scaled down to it: a state is within 1, so no exponential overflows."""
+    most = np.abs(weights).sum(axis=axis, keepdims=True)
+    return weights if most.max(initial=0) <= 60 else weights * np.minimum(1, 60 / most, dtype=weights.dtype)
 
-    Logits over 60 count as 60, so that no exponential overflows.
-    """
-    np.minimum(logits, 60, out=logits)
+
+def _softmax(logits: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the picked columns; ``logits`` become their exponentials, whose sums are returned too."""
     picked = logits[at, own]
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
@@ -219,8 +229,10 @@ class Trainer:
         self.tokens += n
         scale = np.float32(1 / np.sqrt(n))
         rows, gates = grads.pop("x")
-        order = np.argsort(rows, kind="stable")
-        rows, first = np.unique(rows[order], return_index=True)
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # VOCABULARY and RARE are far below 65,536; 16 bits sort by radix
+        rows = rows[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        rows = rows[first]
         g = np.add.reduceat(gates.take(order, axis=0), first, axis=0) * scale
         self.seen["x"][rows] += g * g
         self.model.w["x"][rows] -= self.rate * g / np.sqrt(self.seen["x"][rows])
@@ -291,10 +303,13 @@ def _count(batches):
 
 
 class _Places(dict):
-    """Word -> its place in a list; of other words minus one, less their rare class."""
+    """Word -> its place in a list; of other words minus one, less their rare class, which DISTINCT words keep."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - zlib.crc32(word[-3:]) % RARE
+        at = -1 - zlib.crc32(word[-2:]) % RARE
+        if len(self) < DISTINCT:
+            self[word] = at
+        return at
 
 
 @lru_cache(maxsize=2)
@@ -310,7 +325,7 @@ def _pack(words: list[bytes]) -> bytes:
 
 def _rare_class(word: Column) -> Column:
     """What ``_Places`` takes as the class of a word that isn't in its list."""
-    return F.pmod(F.crc32(F.when(F.length(word) > 3, F.substring(word, -3, 3)).otherwise(word)), F.lit(RARE))
+    return F.pmod(F.crc32(F.when(F.length(word) > 2, F.substring(word, -2, 2)).otherwise(word)), F.lit(RARE))
 
 
 class Corpus:
@@ -342,7 +357,7 @@ class Corpus:
         for r in self.counts.groupBy(_rare_class(col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count(lit(1)).alias("v")).collect():
             self.rare_n[r.c], self.rare_v[r.c] = r.n, r.v
         for word, n in zip(self.words[:VOCABULARY], own):
-            c = zlib.crc32(word[-3:]) % RARE
+            c = zlib.crc32(word[-2:]) % RARE
             self.rare_n[c] -= n
             self.rare_v[c] -= 1
         self.model = Model(own, self.rare_n)
@@ -386,6 +401,7 @@ class Corpus:
 
 def _trainer(sent, rate: float):
     def run(batches):
+        one_thread()
         model, words = sent.value
         # A copy: a worker process keeps what was sent for the next trainer that it runs.
         place, trainer, number = _lookup(words), Trainer(copy.deepcopy(model), rate), None
@@ -422,11 +438,12 @@ def _sum(batches):
 
 def _scorer(sent):
     def run(batches):
+        one_thread()
         model, words, counts, room = sent.value
         place, logs = _lookup(words), np.log10(counts + 1.0)
         # Of each word of the head: its place in the model, a rare class's for those without words of their own.
         in_model = np.arange(len(counts), dtype=np.int32)
-        in_model[VOCABULARY:] = [model.rare + zlib.crc32(w[-3:]) % RARE for w in zlib.decompress(words).split(b"\n")[VOCABULARY:-1]]
+        in_model[VOCABULARY:] = [model.rare + zlib.crc32(w[-2:]) % RARE for w in zlib.decompress(words).split(b"\n")[VOCABULARY:-1]]
         row = TaskContext.get().partitionId() << 33
         for b in (b.slice(at, 2 * SCORED) for b in batches for at in range(0, b.num_rows, 2 * SCORED)):
             docs, facts, other = [], [], []
