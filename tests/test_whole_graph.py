@@ -47,9 +47,9 @@ def _ranks(nodes, edges, rounds=40, d=0.85):
 
 def test_components_of_the_whole_graph(spark, graph):
     want = _labels(*graph)
-    assert {r.node_id: r.component for r in catalog.QUERIES["component_labels_whole"](spark, SF).collect()} == want
+    assert {r.node_id: r.component for r in catalog.QUERIES["component_labels"](spark, SF).collect()} == want
     sizes = Counter(Counter(want.values()).values())
-    assert {r["size"]: r.n for r in catalog.QUERIES["component_sizes_whole"](spark, SF).collect()} == sizes
+    assert {r["size"]: r.n for r in catalog.QUERIES["component_sizes"](spark, SF).collect()} == sizes
 
 
 def test_components_of_long_chains(spark):
@@ -64,7 +64,7 @@ def test_components_of_long_chains(spark):
 def test_pagerank_and_risk_of_forty_rounds(spark, graph):
     nodes, edges = graph
     rank = _ranks(nodes, edges)
-    got = {r.node_id: r.score for r in catalog.QUERIES["pagerank_whole"](spark, SF).collect()}
+    got = {r.node_id: r.score for r in catalog.QUERIES["pagerank"](spark, SF).collect()}
     assert got == pytest.approx(rank, abs=2e-9)
     near, ring = {n: 0 for n, kind in nodes.items() if kind == "alert"}, None
     for hop in (1, 2, 3):
@@ -72,4 +72,4 @@ def test_pagerank_and_risk_of_forty_rounds(spark, graph):
         near |= dict.fromkeys(ring, hop)
     top = max(rank.values())
     want = {n: 100 * min(1, 0.45 * rank[n] / top + 0.4 * (0.5 ** near[n] if n in near else 0) + 0.15 * centrality.KIND_WEIGHT.get(kind, 0.1)) for n, kind in nodes.items()}
-    assert {r.node_id: r.score for r in catalog.QUERIES["risk_whole"](spark, SF).collect()} == pytest.approx(want, abs=2e-6)
+    assert {r.node_id: r.score for r in catalog.QUERIES["risk"](spark, SF).collect()} == pytest.approx(want, abs=2e-6)

@@ -40,6 +40,9 @@ PATHS = ["C:\\Windows\\cmd.exe", "/usr/bin/id", "plain", "C:\\dir\\", "a/b\\c"]
 XML = ("OPLC-acme,1782858033704,10.0.0.1 #1782858369,H{0},10.0.0.{0},E,<Event><System><Provider Name='P &amp; Q'/><EventID>{1}</EventID><TimeCreated SystemTime='2026-06-30T22:26:08Z'/>"
        "<Computer> h{0}.local </Computer></System><EventData><Data Name='TargetUserName'>u{0}</Data><Data Name='IpAddress'>10.0.0.{2}</Data><Data Name='LogonType'>3</Data></EventData></Event>")
 
+# An attack path's ends: a customer whose orders were shipped by this supplier.
+ATTACK = ("c69", "s11")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -151,12 +154,15 @@ def lateral_movement(spark, sf):
 
 @query
 def node_fold(spark, sf):
-    return _correlated(spark, sf)[0].where("kind IN ('host', 'user', 'ip_address', 'file')").select("kind", "identity_key", "label", "first_seen", "last_seen", "event_count")
+    return _correlated(spark, sf)[0].select("kind", "identity_key", "label", "first_seen", "last_seen", "event_count")
 
 
 @query
 def edge_fold(spark, sf):
-    return reports.counts_by(_correlated(spark, sf)[1], "etype")
+    nodes, edges = _correlated(spark, sf)
+    end = lambda side: nodes.select(col("node_id").alias(f"{side}_id"), col("kind").alias(f"{side}_kind"), col("identity_key").alias(f"{side}_key"))
+    return edges.join(end("src"), "src_id").join(end("dst"), "dst_id").select(
+        "src_kind", "src_key", "dst_kind", "dst_key", "etype", "first_seen", "last_seen", "event_count")
 
 
 @query
@@ -225,38 +231,26 @@ def reachable(spark, sf):
     return traverse.reachable(*testdata.graph(spark, sf), "n1", Options(direction="out"))
 
 
-def _weak_edges() -> Options:
-    return Options(*YEAR_1998, etypes=("OWNS",))
-
-
+# The whole operators: all edges of all time, and the rounds that the API runs.
 @query
 def component_labels(spark, sf):
-    return centrality.components(*testdata.graph(spark, sf), _weak_edges())
+    return centrality.components(*testdata.graph(spark, sf))
 
 
 @query
 def component_sizes(spark, sf):
-    return centrality.component_sizes(centrality.components(*testdata.graph(spark, sf), _weak_edges())).groupBy("size").agg(F.count(lit(1)).alias("n"))
-
-
-@query
-def pagerank(spark, sf):
-    return _round(centrality.pagerank(*testdata.graph(spark, sf), iterations=10), "score")
-
-
-# The whole operators, without SQL: all edges of all time, and the rounds that the API runs.
-@query
-def component_labels_whole(spark, sf):
-    return centrality.components(*testdata.graph(spark, sf))
+    return centrality.component_sizes(centrality.components(*testdata.graph(spark, sf))).groupBy("size").agg(F.count(lit(1)).alias("n"))
 
 
 @query
-def component_sizes_whole(spark, sf):
-    return centrality.component_sizes(centrality.components(*testdata.graph(spark, sf))).groupBy("size").agg(F.count(lit(1)).alias("n"))
+def component_members(spark, sf):
+    """Components among what was seen in 1998, with their members."""
+    nodes, edges = testdata.graph(spark, sf)
+    return centrality.component_members(centrality.components(nodes, edges, Options(*YEAR_1998, etypes=("OWNS",))), nodes)
 
 
 @query
-def pagerank_whole(spark, sf):
+def pagerank(spark, sf):
     return _round(centrality.pagerank(*testdata.graph(spark, sf)), "score")
 
 
@@ -268,11 +262,6 @@ def alert_proximity(spark, sf):
 
 @query
 def risk(spark, sf):
-    return _round(centrality.risk(*testdata.graph(spark, sf), iterations=3), "score", places=6)
-
-
-@query
-def risk_whole(spark, sf):
     return _round(centrality.risk(*testdata.graph(spark, sf)), "score", places=6)
 
 
@@ -283,7 +272,7 @@ def top_risk(spark, sf):
 
 @query
 def attack_paths(spark, sf):
-    return _csv(_round(attack.attack_paths(*testdata.graph(spark, sf), "c1", "r0", 3), "cost", "base_cost", places=6), "nodes", "edges")
+    return _csv(_round(attack.attack_paths(*testdata.graph(spark, sf), *ATTACK, 3), "cost", "base_cost", places=6), "nodes", "edges")
 
 
 @query
@@ -309,6 +298,20 @@ def union_seeds(spark, sf):
     return rings[0].unionByName(rings[1]).unionByName(rings[2]).dropDuplicates(["node_id"])
 
 
+@query
+def visible_graph(spark, sf):
+    """What a view shows that hides kinds of nodes and types of edges: an edge needs both its ends."""
+    nodes, edges = reports.visible(*testdata.graph(spark, sf), kinds=("user", "process", "host"), etypes=("OWNS", "CONNECTED_TO"))
+    return reports.counts_by(nodes, "kind").withColumnRenamed("kind", "name").unionByName(reports.counts_by(edges, "etype").withColumnRenamed("etype", "name"))
+
+
+@query
+def path_union(spark, sf):
+    """Nodes and edges that any of the ranked paths goes through, each with the best rank."""
+    paths = attack.attack_paths(*testdata.graph(spark, sf), *ATTACK, 3)
+    return attack.union_paths(paths)
+
+
 @query
 def live_edges_at(spark, sf):
     return testdata.graph_edges(spark, sf).where(scalars.live_at(900_000_000_000)).select("edge_id")
@@ -368,14 +371,43 @@ def parse_errors(spark, sf):
 @query
 def xml_flatten(spark, sf):
     records, _ = lines.split_errors(lines.decode(_lines(spark, sf)))
-    return records.select("line_no", F.explode("fields").alias("k", "v")).where("k NOT LIKE 'env.%'")
+    return records.select("line_no", F.explode("fields").alias("k", "v"))
 
 
 @query
 def residue_map(spark, sf):
     records, _ = lines.split_errors(lines.decode(_lines(spark, sf)))
     events = normalize.normalize(records, config.load_mappings())
-    return events.select("line_no", "event_code", "class_uid", "activity_id", "user_name", "src_ip", F.explode("extra").alias("k", "v")).where("k NOT LIKE 'env.%'")
+    return events.select("line_no", "event_code", "class_uid", "activity_id", "user_name", "src_ip", F.explode("extra").alias("k", "v"))
+
+
+def _other_lines(spark, sf) -> DataFrame:
+    """A line for every event in turn: a connection, a launch in full, a launch cut short, a file change."""
+    e = testdata.telemetry(spark, sf)
+    n, text = col("event_id"), lambda c: c.cast("string")
+    head = F.concat(lit("OPLC-acme,1782858033704,10.0.0.1 #3.1,1782858369,H"), text(n % 50), lit(",10.0.0."), text(n % 50))
+    user = F.concat(lit("corp\\u"), text(n % 30))
+    body = (F.when(n % 4 == 0, F.concat_ws(",", lit("N"), lit("NETWORK"), lit("tcp"), lit("10.0.0.9"), text(1000 + n % 9), lit("203.0.113.7"), lit("443"), F.concat(lit("0x"), F.hex(n % 99)), lit("ssh")))
+            .when(n % 4 == 1, F.concat_ws(",", lit("P"), lit("NEW_PROCESS"), text(n % 97), lit("cmd.exe"), lit("C:\\bin\\cmd.exe"), lit("C:\\bin"), user, text(n % 13), lit("init")))
+            .when(n % 4 == 2, F.concat_ws(",", lit("P"), lit("NEW_PROCESS"), text(n % 97), lit("id")))
+            .otherwise(F.concat_ws(",", lit("I"), lit("FILE_INTEGRITY"), lit("-"), lit("CREATED"), lit("C:\\a"), F.concat(text(n), lit(".txt")), F.md5(text(n)))))
+    return e.select((n + 1).alias("line_no"), F.concat(head, lit(","), body).alias("value"))
+
+
+@query
+def wire_fields(spark, sf):
+    """Every field of network, process and integrity lines."""
+    records, _ = lines.split_errors(lines.decode(_other_lines(spark, sf)))
+    return records.select("line_no", "kind", "ts_ms", "host", "source_ip", F.explode("fields").alias("k", "v"))
+
+
+@query
+def wire_events(spark, sf):
+    """The same lines as events: typed columns, and all fields that have none."""
+    records, _ = lines.split_errors(lines.decode(_other_lines(spark, sf)))
+    events = normalize.normalize(records, config.load_mappings())
+    return events.select("line_no", "class_uid", "activity_id", "src_ip", "dst_ip", "user_name", "process_name", "process_pid", "parent_pid",
+                         F.explode(F.map_filter("fields", lambda _, v: v.isNotNull())).alias("k", "v"))
 
 
 @query

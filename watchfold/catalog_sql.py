@@ -79,6 +79,36 @@ _LIVE = _with(TELE, """acts AS (
 _ADDRESS = "address AS (SELECT env_ip AS ip, arg_max(lower(host), event_id) AS src_host FROM tele GROUP BY env_ip)"
 _MOVED = """moved AS (SELECT src_host AS src, lower(host) AS dst, ts_ms, event_id FROM tele JOIN address ON src_ip = ip WHERE class_uid = 3002 AND src_host <> lower(host))"""
 
+# What each event shows: nodes, and edges between them.
+_SHOWN = _LIVE + f""", {_ADDRESS}, {_MOVED}, launched AS (
+        SELECT event_id, ts_ms, lower(host) AS hk, lower(host) || ':' || pid || ':' || ts_ms AS p, process_name, user_name,
+               coalesce(last, CASE WHEN loose = 1 THEN hk || ':' || ppid || ':net' END, hk || ':' || ppid || ':?') AS parent, last IS NULL AND loose = 0 AS unseen
+        FROM tele JOIN (SELECT event_id, hk, last, loose FROM looked WHERE role = 'parent') USING (event_id)),
+    connected AS (
+        SELECT event_id, ts_ms, lower(host) AS hk, coalesce(last, hk || ':' || pid || ':net') AS p, process_name, dst_ip, last IS NULL AND before = 0 AS made
+        FROM tele JOIN (SELECT event_id, hk, last, before FROM looked WHERE role = 'own') USING (event_id)),
+    shown AS (
+        SELECT 'host' AS kind, lower(host) AS identity_key, host AS label, ts_ms, event_id, 0 AS "at" FROM tele
+        UNION ALL SELECT 'host', src, src, ts_ms, event_id, 2 FROM moved
+        UNION ALL SELECT 'user', user_name, user_name, ts_ms, event_id, 1 FROM tele WHERE class_uid IN (3002, 1007)
+        UNION ALL SELECT 'process', p, process_name, ts_ms, event_id, 1 FROM launched
+        UNION ALL SELECT 'executable', process_name, process_name, ts_ms, event_id, 2 FROM launched
+        UNION ALL SELECT 'process', parent, 'unknown', ts_ms, event_id, 4 FROM launched WHERE unseen
+        UNION ALL SELECT 'ip_address', dst_ip, dst_ip, ts_ms, event_id, 1 FROM connected
+        UNION ALL SELECT 'process', p, process_name, ts_ms, event_id, 2 FROM connected WHERE made
+        UNION ALL SELECT 'file', lower(host) || ':c:\\data\\' || k || '.txt', k || '.txt', ts_ms, event_id, 1 FROM tele WHERE class_uid = 1001 AND k IS NOT NULL),
+    bonds AS (
+        SELECT 'host' AS src_kind, hk AS src_key, 'process' AS dst_kind, p AS dst_key, 'STARTED' AS etype, ts_ms FROM launched
+        UNION ALL SELECT 'executable', process_name, 'process', p, 'EXECUTED', ts_ms FROM launched
+        UNION ALL SELECT 'user', user_name, 'process', p, 'RAN_AS', ts_ms FROM launched
+        UNION ALL SELECT 'process', parent, 'process', p, 'SPAWNED', ts_ms FROM launched
+        UNION ALL SELECT 'host', hk, 'process', p, 'STARTED', ts_ms FROM connected WHERE made
+        UNION ALL SELECT 'process', p, 'ip_address', dst_ip, 'CONNECTED_TO', ts_ms FROM connected
+        UNION ALL SELECT 'user', user_name, 'host', lower(host), CASE WHEN event_code = 4624 THEN 'LOGGED_IN_TO' ELSE 'AUTHENTICATED' END, ts_ms FROM tele WHERE class_uid = 3002
+        UNION ALL SELECT 'host', src, 'host', dst, 'LATERAL_MOVEMENT', ts_ms FROM moved
+        UNION ALL SELECT 'host', lower(host), 'file', lower(host) || ':c:\\data\\' || k || '.txt', 'MODIFIED', ts_ms FROM tele WHERE class_uid = 1001 AND k IS NOT NULL)
+"""
+
 _PAGERANK = ["outs AS (SELECT src_id, count(*) AS n_out FROM edges GROUP BY src_id)",
              "shares AS MATERIALIZED (SELECT src_id, dst_id, count(*) AS m FROM edges GROUP BY ALL)",
              "size AS (SELECT count(*) AS n FROM nodes)",
@@ -99,20 +129,40 @@ def _rings(start: str, hops: int, steps: str = "steps") -> list[str]:
     return out
 
 
-_RISK = """SELECT node_id, round(100 * least(greatest(0.45 * score / greatest((SELECT max(score) FROM r3), 1e-9) + 0.40 * coalesce(pow(0.5, hop), 0)
+_RISK = """SELECT node_id, round(100 * least(greatest(0.45 * score / greatest((SELECT max(score) FROM r40), 1e-9) + 0.40 * coalesce(pow(0.5, hop), 0)
         + 0.15 * CASE kind WHEN 'alert' THEN 1.0 WHEN 'process' THEN 0.25 WHEN 'user' THEN 0.25 WHEN 'host' THEN 0.25 ELSE 0.1 END, 0), 1), 6) AS score
-    FROM nodes JOIN r3 USING (node_id) LEFT JOIN d3 USING (node_id)"""
+    FROM nodes JOIN r40 USING (node_id) LEFT JOIN d3 USING (node_id)"""
 _LOW, _HIGH = c.YEAR_1998
 _OVERLAP = f"first_seen <= {_HIGH} AND last_seen >= {_LOW}"
-_COMPONENTS = _with(EDGES, NODES, f"own AS MATERIALIZED (SELECT src_id AS a, dst_id AS b FROM edges WHERE etype = 'OWNS' AND {_OVERLAP})",
-                    "owner AS MATERIALIZED (SELECT a, least(a, min(b)) AS component FROM own GROUP BY a)",
-                    "label AS MATERIALIZED (SELECT a AS node_id, component FROM owner UNION ALL SELECT b, component FROM own JOIN owner USING (a))",
-                    "labelled AS (SELECT node_id, coalesce(component, node_id) AS component FROM nodes LEFT JOIN label USING (node_id))")
-_HALVES = """one AS (SELECT edge_id, first_seen, last_seen, event_count, 1.0 AS weight FROM edges WHERE event_count = 1),
-    two AS (SELECT edge_id, first_seen - 5 AS first_seen, last_seen, event_count, 2.0 AS weight FROM edges WHERE first_seen > 0)"""
+# Labels fall to the smallest of the neighbours', until none falls any more; only nodes whose label fell tell it on.
+_COMPONENTS = _with(EDGES, NODES, BOTH, """labelled(node_id, component) USING KEY (node_id) AS (
+    SELECT node_id, node_id FROM nodes
+    UNION
+    SELECT s.b, min(l.component) FROM labelled l JOIN steps s ON s.a = l.node_id JOIN recurring.labelled r ON r.node_id = s.b
+    WHERE l.component < r.component GROUP BY s.b)""", recursive=True)
+# Every order has one customer, so a component of OWNS edges is a customer with its orders.
+_OWNED = _with(EDGES, NODES, f"own AS MATERIALIZED (SELECT src_id AS a, dst_id AS b FROM edges WHERE etype = 'OWNS' AND {_OVERLAP})",
+               "owner AS MATERIALIZED (SELECT a, least(a, min(b)) AS component FROM own GROUP BY a)",
+               "label AS MATERIALIZED (SELECT a AS node_id, component FROM owner UNION ALL SELECT b, component FROM own JOIN owner USING (a))")
+_HALVES = """halves AS MATERIALIZED (
+    SELECT edge_id, first_seen, last_seen, event_count, CAST(1 AS DOUBLE) AS weight, 0 AS half FROM edges WHERE event_count = 1
+    UNION ALL SELECT edge_id, first_seen - 5, last_seen, event_count, CAST(2 AS DOUBLE), 1 FROM edges WHERE first_seen > 0)"""
+# From a customer, paths in time order to a supplier go through one order each; a used one costs too much to be tried before an unused one.
+_SRC, _DST = c.ATTACK
+_ATTACK = _with(EDGES, NODES, f"""ways AS (
+    SELECT o.dst_id AS mid, o.edge_id AS e1, s.edge_id AS e2, round(greatest(0.05, 1 - 0.6 * n.risk_score / 100) + greatest(0.05, 1 - 0.6 * t.risk_score / 100), 6) AS cost
+    FROM edges o JOIN edges s ON s.src_id = o.dst_id AND s.first_seen >= o.first_seen JOIN nodes n ON n.node_id = o.dst_id JOIN nodes t ON t.node_id = s.dst_id
+    WHERE o.src_id = '{_SRC}' AND s.dst_id = '{_DST}')""", f"""ranked AS (
+    SELECT row_number() OVER (ORDER BY cost, mid) AS rank, cost, ['{_SRC}', mid, '{_DST}'] AS nodes, [e1, e2] AS edges FROM ways QUALIFY rank <= 3)""")
 _VALUES = lambda xs: "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(xs)) + ") v(i, x)"
 _XML = _with(TELE, """xml AS (SELECT event_id + 1 AS line_no, event_id % 50 AS h, CASE WHEN event_id % 2 = 0 THEN '4624' ELSE '4625' END AS code, event_id % 30 AS ip
          FROM tele WHERE event_id % 4 <> 3)""")
+_OTHER = _with(TELE, """parts AS (
+    SELECT event_id AS e, event_id + 1 AS line_no, event_id % 50 AS h, CASE event_id % 4 WHEN 0 THEN 'network' WHEN 3 THEN 'integrity' ELSE 'process' END AS kind,
+           CASE event_id % 4 WHEN 0 THEN map {'protocol': 'tcp', 'src_ip': '10.0.0.9', 'src_port': CAST(1000 + event_id % 9 AS VARCHAR), 'dst_ip': '203.0.113.7', 'dst_port': '443', 'pid': '0x' || to_hex(event_id % 99), 'process': 'ssh'}
+           WHEN 1 THEN map {'pid': CAST(event_id % 97 AS VARCHAR), 'process': 'cmd.exe', 'full_path': 'C:\\bin\\cmd.exe', 'parent_folder': 'C:\\bin', 'user': 'corp\\u' || event_id % 30, 'parent_pid': CAST(event_id % 13 AS VARCHAR), 'parent_process': 'init'}
+           WHEN 2 THEN map {'pid': CAST(event_id % 97 AS VARCHAR), 'process': 'id'}
+           ELSE map {'reserved': '-', 'action': 'CREATED', 'file_path': 'C:\\a,' || event_id || '.txt', 'hash': md5(CAST(event_id AS VARCHAR))} END AS own FROM tele)""")
 _RULES = "(VALUES " + ", ".join(f"('{r.id}', '{r.severity}', '{r.mitre}')" for r in config.load_rules()) + ") v(rule_id, severity, mitre)"
 
 ORACLE = {
@@ -134,19 +184,14 @@ ORACLE = {
         net = 1 AND last IS NULL AND before = 0 AS made FROM looked WHERE role IS NOT NULL""",
     "address_to_host": _with(TELE, _ADDRESS) + "SELECT ip, src_host FROM address",
     "lateral_movement": _with(TELE, _ADDRESS, _MOVED) + "SELECT src, dst, min(ts_ms) AS first_seen, max(ts_ms) AS last_seen, count(*) AS event_count FROM moved GROUP BY ALL",
-    "node_fold": _with(TELE, _ADDRESS, _MOVED, """shown AS (
-        SELECT 'host' AS kind, lower(host) AS identity_key, host AS label, ts_ms, event_id, 0 AS "at" FROM tele
-        UNION ALL SELECT 'host', src, src, ts_ms, event_id, 2 FROM moved
-        UNION ALL SELECT 'user', user_name, user_name, ts_ms, event_id, 1 FROM tele WHERE class_uid IN (3002, 1007)
-        UNION ALL SELECT 'ip_address', dst_ip, dst_ip, ts_ms, event_id, 1 FROM tele WHERE dst_ip IS NOT NULL
-        UNION ALL SELECT 'file', lower(host) || ':c:\\data\\' || k || '.txt', k || '.txt', ts_ms, event_id, 1 FROM tele WHERE class_uid = 1001)""")
-        + """SELECT kind, identity_key, arg_min(label, (event_id, "at")) AS label, min(ts_ms) AS first_seen, max(ts_ms) AS last_seen, count(*) AS event_count
+    "node_fold": _SHOWN + """SELECT kind, identity_key, arg_min(label, (event_id, "at")) AS label, min(ts_ms) AS first_seen, max(ts_ms) AS last_seen, count(*) AS event_count
         FROM shown GROUP BY kind, identity_key""",
+    "edge_fold": _SHOWN + """SELECT src_kind, src_key, dst_kind, dst_key, etype, min(ts_ms) AS first_seen, max(ts_ms) AS last_seen, count(*) AS event_count FROM bonds GROUP BY ALL""",
     "graph_edge_fold": _with(EDGES) + "SELECT edge_id, first_seen, last_seen, event_count FROM edges",
-    "validity_merge": _with(EDGES, _HALVES) + """SELECT edge_id, least(one.first_seen, two.first_seen) AS first_seen, greatest(one.last_seen, two.last_seen) AS last_seen,
-        coalesce(one.event_count, 0) + coalesce(two.event_count, 0) AS event_count, CAST(coalesce(one.weight, two.weight) AS DOUBLE) AS weight FROM one FULL JOIN two USING (edge_id)""",
-    "upsert_fold": _with(EDGES, _HALVES) + """SELECT edge_id, least(one.first_seen, two.first_seen) AS first_seen, greatest(one.last_seen, two.last_seen) AS last_seen,
-        coalesce(two.event_count, one.event_count) AS event_count, CAST(coalesce(two.weight, one.weight) AS DOUBLE) AS weight FROM one FULL JOIN two USING (edge_id)""",
+    "validity_merge": _with(EDGES, _HALVES) + """SELECT edge_id, min(first_seen) AS first_seen, max(last_seen) AS last_seen, CAST(sum(event_count) AS BIGINT) AS event_count,
+        arg_min(weight, half) AS weight FROM halves GROUP BY edge_id""",
+    "upsert_fold": _with(EDGES, _HALVES) + """SELECT edge_id, min(first_seen) AS first_seen, max(last_seen) AS last_seen, arg_max(event_count, half) AS event_count,
+        arg_max(weight, half) AS weight FROM halves GROUP BY edge_id""",
     "rewind_edges": _with(EDGES) + f"SELECT edge_id FROM edges WHERE {_OVERLAP}",
     "etype_mask": _with(EDGES) + "SELECT etype, count(*) AS n FROM edges WHERE etype IN ('OWNS', 'USED') GROUP BY etype",
     "degree": _with(EDGES, NODES) + """SELECT node_id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree FROM nodes
@@ -157,13 +202,24 @@ ORACLE = {
     "khop2_edges": _with(EDGES, NODES, BOTH, *_rings("node_id = 'c1'", 1)) + "SELECT DISTINCT edge_id FROM steps JOIN d1 ON a = node_id",
     "shortest_path_hops": _with(EDGES, """walk AS (SELECT 'c1' AS node_id, 0 AS hop UNION SELECT dst_id, hop + 1 FROM walk JOIN edges ON src_id = node_id)""", recursive=True)
         + "SELECT node_id, min(hop) AS hop FROM walk GROUP BY node_id",
+    # Of the ways to a node in a ring the smallest edge stays; the path goes back along them.
+    "shortest_path": _with(EDGES, NODES, BOTH, *_rings("node_id = 'c1'", 4), """ways AS MATERIALIZED (
+            SELECT t.node_id, t.hop, min((s.edge_id, s.a)) AS way FROM d4 t JOIN steps s ON s.b = t.node_id JOIN d4 f ON f.node_id = s.a AND f.hop = t.hop - 1 GROUP BY t.node_id, t.hop)""",
+        "back AS (SELECT node_id, hop, way FROM ways WHERE node_id = 'r0' UNION ALL SELECT w.node_id, w.hop, w.way FROM back b JOIN ways w ON w.node_id = b.way[2])", recursive=True)
+        + "SELECT CAST(0 AS INTEGER) AS hop, 'c1' AS node_id, CAST(NULL AS VARCHAR) AS edge_id FROM back WHERE hop = 1 UNION ALL SELECT hop, node_id, way[1] FROM back",
+    "attack_paths": _ATTACK + "SELECT CAST(rank AS INTEGER) AS rank, cost, cost AS base_cost, array_to_string(nodes, ',') AS nodes, array_to_string(edges, ',') AS edges FROM ranked",
+    "path_union": _ATTACK + """SELECT part, id, CAST(min(rank) AS INTEGER) AS rank FROM (SELECT 'node' AS part, unnest(nodes) AS id, rank FROM ranked
+        UNION ALL SELECT 'edge', unnest(edges), rank FROM ranked) GROUP BY part, id""",
+    "visible_graph": _with(EDGES, NODES) + """, shown AS (SELECT * FROM nodes WHERE kind IN ('user', 'process', 'host'))
+        SELECT kind AS name, count(*) AS n FROM shown GROUP BY kind UNION ALL SELECT etype, count(*) FROM edges
+        WHERE etype IN ('OWNS', 'CONNECTED_TO') AND src_id IN (SELECT node_id FROM shown) AND dst_id IN (SELECT node_id FROM shown) GROUP BY etype""",
     "reachable": _with(EDGES, "walk AS (SELECT 'n1' AS node_id UNION SELECT dst_id FROM walk JOIN edges ON src_id = node_id)", recursive=True) + "SELECT node_id FROM walk",
-    # Every order has one customer, so a component is a customer with its orders.
     "component_labels": _COMPONENTS + "SELECT node_id, component FROM labelled",
     "component_sizes": _COMPONENTS + "SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM labelled GROUP BY component) GROUP BY size",
-    "pagerank": _with(EDGES, NODES, *_rounds(10)) + "SELECT node_id, round(score, 9) AS score FROM r10",
+    "component_members": _OWNED + """SELECT component, size, node_id, kind, label FROM (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM label) JOIN nodes USING (node_id)""",
+    "pagerank": _with(EDGES, NODES, *_rounds(40)) + "SELECT node_id, round(score, 9) AS score FROM r40",
     "alert_proximity": _with(EDGES, NODES, BOTH, *_rings("kind = 'alert'", 3)) + "SELECT node_id, hop FROM d3",
-    "risk": _with(EDGES, NODES, BOTH, *_rounds(3), *_rings("kind = 'alert'", 3)) + _RISK,
+    "risk": _with(EDGES, NODES, BOTH, *_rounds(40), *_rings("kind = 'alert'", 3)) + _RISK,
     "top_risk": _with(EDGES, NODES, OBSERVED) + "SELECT node_id, risk_score, event_count FROM observed ORDER BY risk_score DESC, event_count DESC, node_id LIMIT 10",
     "graph_extent": _with(EDGES) + """SELECT min(first_seen) - greatest(CAST(floor((max(last_seen) - min(first_seen)) * 0.01) AS BIGINT), 1000) AS low,
         max(last_seen) + greatest(CAST(floor((max(last_seen) - min(first_seen)) * 0.01) AS BIGINT), 1000) AS high FROM edges""",
@@ -182,8 +238,22 @@ ORACLE = {
     "envelope_parse": _XML + "SELECT line_no, 'event' AS kind, CAST(1782858368000 AS BIGINT) AS ts_ms, 'h' || h || '.local' AS host, '10.0.0.' || h AS source_ip FROM xml",
     "parse_errors": _with(TELE) + "SELECT event_id + 1 AS line_no, 'envelope' AS kind FROM tele WHERE event_id % 4 = 3",
     "xml_flatten": _XML + """SELECT line_no, unnest(['Provider_Name', 'EventID', 'TimeCreated_SystemTime', 'Computer', 'TargetUserName', 'IpAddress', 'LogonType']) AS k,
-        unnest(['P & Q', code, '2026-06-30T22:26:08Z', 'h' || h || '.local', 'u' || h, '10.0.0.' || ip, '3']) AS v FROM xml""",
-    "residue_map": _XML + """, kept AS (SELECT *, unnest(CASE code WHEN '4624' THEN ['Provider_Name', 'TimeCreated_SystemTime'] ELSE ['Provider_Name', 'TimeCreated_SystemTime'] END) AS k FROM xml)
-        SELECT line_no, CAST(code AS INTEGER) AS event_code, 3002 AS class_uid, 1 AS activity_id, 'u' || h AS user_name, '10.0.0.' || ip AS src_ip, k,
-        CASE k WHEN 'Provider_Name' THEN 'P & Q' ELSE '2026-06-30T22:26:08Z' END AS v FROM kept""",
+        unnest(['P & Q', code, '2026-06-30T22:26:08Z', 'h' || h || '.local', 'u' || h, '10.0.0.' || ip, '3']) AS v FROM xml
+        UNION ALL SELECT line_no, unnest(['env.tenant', 'env.collector_ts_ms', 'env.generated_ts_s', 'env.hostname', 'env.source_ip']),
+        unnest(['acme', '1782858033704', '1782858369', 'H' || h, '10.0.0.' || h]) FROM xml""",
+    "residue_map": _XML + """, kept AS (SELECT *, unnest(['Provider_Name', 'TimeCreated_SystemTime', 'env.tenant', 'env.collector_ts_ms', 'env.generated_ts_s', 'env.hostname', 'env.source_ip']) AS k,
+            unnest(['P & Q', '2026-06-30T22:26:08Z', 'acme', '1782858033704', '1782858369', 'H' || h, '10.0.0.' || h]) AS v FROM xml)
+        SELECT line_no, CAST(code AS INTEGER) AS event_code, 3002 AS class_uid, 1 AS activity_id, 'u' || h AS user_name, '10.0.0.' || ip AS src_ip, k, v FROM kept""",
+    "wire_fields": _OTHER + """SELECT line_no, kind, CAST(1782858369000 AS BIGINT) AS ts_ms, 'H' || h AS host, '10.0.0.' || h AS source_ip, k, v FROM (
+        SELECT *, unnest(map_keys(own)) AS k, unnest(map_values(own)) AS v FROM parts
+        UNION ALL SELECT *, unnest(['env.tenant', 'env.collector_ts_ms', 'env.generated_ts_s', 'env.hostname', 'env.source_ip', 'env.agent_version']),
+            unnest(['acme', '1782858033704', '1782858369', 'H' || h, '10.0.0.' || h, '3.1']) FROM parts)""",
+    "wire_events": _OTHER + """, typed AS (
+        SELECT line_no, CASE kind WHEN 'network' THEN 4001 WHEN 'process' THEN 1007 ELSE 1001 END AS class_uid, CASE kind WHEN 'process' THEN 1 END AS activity_id, own['src_ip'] AS src_ip, own['dst_ip'] AS dst_ip,
+               own['user'] AS user_name, own['process'] AS process_name, CASE WHEN kind = 'network' THEN e % 99 WHEN kind = 'process' THEN e % 97 END AS process_pid,
+               CASE WHEN e % 4 = 1 THEN e % 13 END AS parent_pid, unnest(map_entries(own)) AS f FROM parts)
+        SELECT line_no, class_uid, activity_id, src_ip, dst_ip, user_name, process_name, process_pid, parent_pid, paths[list_position(names, f.key)] AS k, f.value AS v
+        FROM typed, (SELECT ['protocol', 'src_port', 'dst_port', 'full_path', 'parent_folder', 'parent_process', 'action', 'file_path', 'hash', 'reserved'] AS names,
+            ['connection.protocol', 'src_endpoint.port', 'dst_endpoint.port', 'process.file.path', 'process.parent_folder', 'parent_process.name', 'activity_name', 'file.path', 'file.hash_md5', 'integrity.reserved'] AS paths)
+        WHERE list_contains(names, f.key)""",
 }

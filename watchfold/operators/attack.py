@@ -11,6 +11,7 @@ from pyspark.sql.functions import col, lit
 
 from watchfold.operators.traverse import Options, reachable
 
+# What a step costs, what its target's risk takes off, the least cost, what a used edge costs more.
 BASE, DISCOUNT, LEAST, REUSED = 1.0, 0.6, 0.05, 2.0
 
 
@@ -102,3 +103,11 @@ def attack_paths(nodes: DataFrame, edges: DataFrame, src, dst, k: int = 3, optio
     here = here.toDF("edge_id", "src_id", "dst_id", "first_seen", "risk").withColumn("edge_id", col("edge_id").cast(edge_key))
     return rows.unionByName(here).coalesce(1).mapInArrow(
         run, f"rank int, cost double, base_cost double, nodes array<{key}>, edges array<{edge_key}>")
+
+
+def union_paths(paths: DataFrame) -> DataFrame:
+    """(part, id, rank): every node and edge of ranked paths once, with the least rank that it is on."""
+    parts = paths.select("rank", F.explode(F.array(
+        F.struct(lit("node").alias("part"), F.transform("nodes", lambda x: x.cast("string")).alias("ids")),
+        F.struct(lit("edge").alias("part"), F.transform("edges", lambda x: x.cast("string")).alias("ids")))).alias("p"))
+    return parts.select("rank", "p.part", F.explode("p.ids").alias("id")).groupBy("part", "id").agg(F.min("rank").alias("rank"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.functions import col, lit
 
 from watchfold.operators.components import connected_components
@@ -28,28 +28,43 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """(node_id, score): a fixed number of rounds; nodes without out-edges spread their score evenly.
 
-    Parallel edges each take a share.  A round is a join on the source and a
-    partial aggregate on the target; its result is written, so rounds don't pile up.
+    Parallel edges each take a share; edges to unknown nodes take it away.  Each
+    source's share is worked out once.  A round is one job with one exchange beside
+    the join on the source: what arrives at a target and the targets themselves are
+    united before the aggregate.  Its result is written, so rounds don't pile up,
+    and the write observes the mass of nodes without out-edges, which the next
+    round spreads.  The edges are not bucketed by source: a source with a large
+    part of them would be one task, whereas a skewed join is split.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "pagerank")
-    out = edges.groupBy(col("src_id").alias("node_id")).agg(F.count(lit(1)).alias("n_out"))
-    own = scratch.write("nodes", nodes.select("node_id").join(out, "node_id", "left"))
-    n = own.count()
+    pairs = scratch.write("pairs", edges.groupBy("src_id", "dst_id").agg(F.count(lit(1)).alias("m")))
+    out = pairs.groupBy("src_id").agg(F.sum("m").alias("n_out"))
+    size = Observation()
+    own = nodes.select("node_id").join(out, col("node_id") == col("src_id"), "left").select(
+        "node_id", F.monotonically_increasing_id().alias("id"), "n_out", col("n_out").isNull().alias("dangling"))
+    own = scratch.write("nodes", own.observe(size, F.count(lit(1)).alias("n"), F.count_if("dangling").alias("dangling")))
+    n = size.get["n"]
     if not n:
         return own.select("node_id", lit(0.0).alias("score"))
-    shares = scratch.write("edges", edges.groupBy("src_id", "dst_id").agg(F.count(lit(1)).alias("m")))
-    ranks = own.select("node_id", "n_out", lit(1.0 / n).alias("score"))
+    # Rounds go by numbers, which the written table fixes, instead of names.
+    shares = pairs.join(own.select(col("node_id").alias("src_id"), col("id").alias("src"), "n_out"), "src_id").join(
+        own.select(col("node_id").alias("dst_id"), col("id").alias("dst")), "dst_id")
+    shares = scratch.write("edges", shares.select("src", "dst", (damping * col("m") / col("n_out")).alias("share")))
+    ranks, dangling = own.select("id", "dangling", lit(1.0 / n).alias("score")), size.get["dangling"] / n
+    targets = own.select("id", "dangling", lit(0.0).alias("got"))
     for i in range(iterations):
-        dangling = ranks.where("n_out IS NULL").agg(F.sum("score")).first()[0] or 0.0
-        sent = shares.join(ranks.where("n_out IS NOT NULL").select(col("node_id").alias("src_id"), (col("score") / col("n_out")).alias("share")), "src_id")
-        got = sent.groupBy(col("dst_id").alias("node_id")).agg(F.sum(col("m") * col("share")).alias("got"))
         base = (1 - damping) / n + damping * dangling / n
-        ranks = own.join(got, "node_id", "left").select("node_id", "n_out", (lit(base) + damping * F.coalesce("got", lit(0.0))).alias("score"))
-        ranks = scratch.write(f"round{i}", ranks)
+        got = shares.join(ranks.select(col("id").alias("src"), "score"), "src").select(
+            col("dst").alias("id"), lit(None).cast("boolean").alias("dangling"), (col("share") * col("score")).alias("got"))
+        both = targets.unionByName(got).groupBy("id").agg(F.max("dangling").alias("dangling"), F.sum("got").alias("got"))
+        ranks = both.select("id", "dangling", (lit(base) + col("got")).alias("score"))
+        mass = Observation()
+        ranks = scratch.write(f"round{i}", ranks.observe(mass, F.sum(F.when(col("dangling"), col("score"))).alias("dangling")))
+        dangling = mass.get["dangling"] or 0.0
         if i:
             scratch.drop(f"round{i - 1}")
-    return ranks.select("node_id", "score")
+    return own.select("node_id", "id").join(ranks.select("id", "score"), "id").select("node_id", "score")
 
 
 def components(nodes: DataFrame, edges: DataFrame, options: Options = Options()) -> DataFrame:
@@ -63,6 +78,13 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("component").agg(F.count(lit(1)).alias("size")).orderBy(F.desc("size"), "component")
 
 
+def component_members(labelled: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
+    """(component, size, node_id, kind, label) of components of ``least`` nodes or more: a row a member, so no list grows with a component."""
+    sizes = labelled.groupBy("component").agg(F.count(lit(1)).alias("size")).where(col("size") >= least)
+    return labelled.join(sizes.hint("merge"), "component").join(nodes.select("node_id", "kind", "label"), "node_id").select(
+        "component", "size", "node_id", "kind", "label")
+
+
 def kind_weight() -> "F.Column":
     pairs = [lit(x) for kv in KIND_WEIGHT.items() for x in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), col("kind")), lit(0.1))
@@ -70,6 +92,9 @@ def kind_weight() -> "F.Column":
 
 def risk(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """(node_id, score), 0 to 100: centrality, nearness to alerts within ALERT_HOPS, and the kind's weight."""
+    scratch = Scratch(nodes.sparkSession, "risk")
+    nodes = scratch.write("nodes", nodes.select("node_id", "kind"))
+    edges = scratch.write("edges", edges.select("src_id", "dst_id", "etype", "first_seen", "last_seen", "edge_id"))  # read by the rounds and the rings
     ranks = pagerank(nodes, edges, DAMPING, iterations)
     top = max(ranks.agg(F.max("score")).first()[0] or 0.0, 1e-9)
     near = distances(nodes, edges, nodes.where("kind = 'alert'"), ALERT_HOPS)

@@ -9,6 +9,7 @@ from pyspark.sql.functions import col, lit
 
 from watchfold import schema
 from watchfold.functions import scalars
+from watchfold.operators import fold
 
 
 def stats(**tables: DataFrame) -> DataFrame:
@@ -96,3 +97,10 @@ def evidence(alerts: DataFrame, events: DataFrame, alert_id: str) -> DataFrame:
 def by_unsigned_id(df: DataFrame, key: str) -> DataFrame:
     """Rows in the order of their ids as unsigned numbers."""
     return df.orderBy(scalars.unsigned(col(key)))
+
+
+def visible(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = (), etypes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Nodes of these kinds, and edges of these types both of whose ends are among them; nothing named means all."""
+    shown = nodes.where(col("kind").isin(*kinds)) if kinds else nodes
+    kept = edges.where(col("etype").isin(*etypes)) if etypes else edges
+    return shown, fold.without_dangling(kept, shown)

@@ -39,6 +39,14 @@ class Options:
         return {"out": out, "in": back, "both": out.unionByName(back)}[self.direction]
 
 
+def _written(scratch: Scratch, edges: DataFrame, options: Options, hops: int | None) -> tuple[DataFrame, DataFrame]:
+    """The edges that count and their steps; for more than one hop the edges are written once, not worked out each hop."""
+    own = options.edges(edges)
+    if hops is None or hops > 1:
+        own = scratch.write("edges", own)
+    return own, Options(direction=options.direction).steps(own)
+
+
 def k_hop(nodes: DataFrame, edges: DataFrame, seed, hops: int | None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(node_id, hop) of the nodes within ``hops`` of a seed, and the edges that were followed.
 
@@ -46,7 +54,8 @@ def k_hop(nodes: DataFrame, edges: DataFrame, seed, hops: int | None, options: O
     Edges among the nodes of the last ring aren't followed, so they aren't there.
     """
     spark = nodes.sparkSession
-    scratch, steps = Scratch(spark, "hops"), options.steps(edges)
+    scratch = Scratch(spark, "hops")
+    edges, steps = _written(scratch, edges, options, hops)
     start = nodes.where(col("node_id") == lit(seed)).select("node_id", lit(0).alias("hop"))
     frontier = scratch.write("ring0", start)
     visited, followed, hop = frontier, None, 0
@@ -72,7 +81,8 @@ def reachable(nodes: DataFrame, edges: DataFrame, seed, options: Options = Optio
 
 def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: int | None, options: Options = Options()) -> DataFrame:
     """(node_id, hop): hops from the nearest of many seeds, as far as ``most``."""
-    scratch, steps = Scratch(nodes.sparkSession, "rings"), options.steps(edges).select("at", "to")
+    scratch = Scratch(nodes.sparkSession, "rings")
+    steps = _written(scratch, edges.select("src_id", "dst_id", "edge_id", "etype", "first_seen", "last_seen"), options, most)[1].select("at", "to")
     frontier = scratch.write("ring0", seeds.select("node_id").distinct().select("node_id", lit(0).alias("hop")))
     visited, hop = frontier, 0
     while (most is None or hop < most) and not frontier.isEmpty():
@@ -94,7 +104,8 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, src, dst, options: Options
         return None
     if src == dst:
         return [(src, None)]
-    scratch, steps = Scratch(spark, "path"), options.steps(edges)
+    scratch = Scratch(spark, "path")
+    steps = _written(scratch, edges.select("src_id", "dst_id", "edge_id", "etype", "first_seen", "last_seen"), options, None)[1]
     frontier = visited = scratch.write("ring0", nodes.where(col("node_id") == lit(src)).select("node_id"))
     rings = []
     while True:

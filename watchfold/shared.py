@@ -1,7 +1,9 @@
 """Tables and files that the driver and every executor can see.
 
 All of them live under ``spark.checkpoint.dir``.  The folder is read from the
-session; only where it is unset (tests, a laptop) is one made and set.
+session; only where it is unset and the master is local (tests, a laptop) is one
+made and set.  On a cluster a folder of one machine would lose what executors
+write, so there an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or one set here where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="watchfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -32,12 +37,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """A folder of written tables; what is no longer read is dropped at once, the rest at exit."""
+    """A folder of written tables; what is no longer read is dropped at once, the rest by ``release`` or at exit."""
+
+    live: list["Scratch"] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._at_exit)
+        if not self.live:
+            atexit.register(release)
+        self.live.append(self)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it again: the lineage ends at files that outlive any executor."""
@@ -47,9 +56,15 @@ class Scratch:
     def drop(self, name: str) -> None:
         remove(self.spark, f"{self.path}/{name}")
 
-    def _at_exit(self) -> None:
+    def close(self) -> None:
         try:
             remove(self.spark, self.path)
         except Exception:  # the session may be gone already
             if self.path.startswith("file://"):
                 shutil.rmtree(self.path.removeprefix("file://"), ignore_errors=True)
+
+
+def release() -> None:
+    """Drop all scratch tables; for a long session, once the results that rest on them are written or no longer wanted."""
+    while Scratch.live:
+        Scratch.live.pop().close()
