@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import col, lit
@@ -69,26 +70,49 @@ class Threshold:
         return ids
 
 
+def firings(ts: np.ndarray, need: int, window_ms: int) -> tuple[list[int], int]:
+    """Of sorted times: where each run of ``need`` events that fires starts, and up to where events are used up.
+
+    What ``Threshold`` finds event by event: a run fires with its last event if all
+    of it lies within the window, and the next run starts after it.
+    """
+    fits = np.flatnonzero(ts[need - 1:] - ts[:max(len(ts) - need + 1, 0)] <= window_ms)
+    starts, at = [], 0
+    while (k := int(np.searchsorted(fits, at))) < len(fits):
+        starts.append(int(fits[k]))
+        at = starts[-1] + need
+    return starts, at
+
+
 def threshold(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """An alert whenever ``threshold`` events of a group lie within the window; counting then starts anew.
 
     Only matching events are shuffled, to their rule and group, and sorted there.
-    They stream through a state of fewer than ``threshold`` events: no group is
-    ever held, however many events it has.
+    They are scanned as arrays, batch after batch; fewer than ``threshold`` events
+    are carried on, so no group is ever held, however many events it has.
     """
     hits = _matched(events, rules, matches, group_of).withColumnRenamed("x", "group_key")
     ordered = hits.repartition("rule", "group_key").sortWithinPartitions("rule", "group_key", "ts_ms", "event_id")
     limits = [(r.threshold, r.window * 1000) for r in rules]
 
     def run(batches):
-        now, state = None, None
+        now, held = None, np.zeros((0, 2), np.int64)
         for b in batches:
             out = []
-            for rule, group, ts, event_id in zip(*(c.to_pylist() for c in b.columns)):
-                if now != (rule, group):
-                    now, state = (rule, group), Threshold(*limits[rule])
-                if ids := state.see(ts, event_id):
-                    out.append({"rule": rule, "group_key": group, "ts_ms": ts, "event_ids": ids})
+            rule, group = b.column(0).to_numpy(zero_copy_only=False), b.column(1).dictionary_encode()
+            code, names = group.indices.to_numpy(zero_copy_only=False), group.dictionary.to_pylist()
+            rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)], axis=1)
+            cut = np.r_[0, np.flatnonzero((rule[1:] != rule[:-1]) | (code[1:] != code[:-1])) + 1, len(rule)].tolist()
+            for a, z in zip(cut[:-1], cut[1:]):
+                if a == z:
+                    continue
+                key = (int(rule[a]), names[code[a]])
+                held = np.concatenate([held, rows[a:z]]) if key == now else rows[a:z]
+                now, (need, window) = key, limits[key[0]]
+                starts, used = firings(held[:, 0], need, window)
+                for s in starts:
+                    out.append({"rule": key[0], "group_key": key[1], "ts_ms": int(held[s + need - 1, 0]), "event_ids": held[s:s + need, 1].tolist()})
+                held = held[max(used, len(held) - need + 1):]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
                 [("rule", pa.int32()), ("group_key", pa.string()), ("ts_ms", pa.int64()), ("event_ids", pa.list_(pa.int64()))]))
 

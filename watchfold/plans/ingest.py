@@ -7,6 +7,7 @@ from pyspark.sql.functions import col, lit
 
 from watchfold import schema
 from watchfold.operators import centrality, correlate, detect, fold, normalize, reports
+from watchfold.shared import Scratch
 from watchfold.sources import config, lines
 from watchfold.sources.tables import Store
 
@@ -42,7 +43,8 @@ def ingest(spark: SparkSession, path: str, store: Store, mappings: dict | None =
     mappings, rules = mappings or config.load_mappings(), config.load_rules() if rules is None else rules
     records, _ = parse(spark, path)
     before = store.read("events").agg(F.coalesce(F.max("event_id"), lit(0))).first()[0]
-    fresh = to_events(records, mappings, before + 1)
+    # Written, so that lines are decoded once for events and raw lines.
+    fresh = Scratch(spark, "ingest").write("events", to_events(records, mappings, before + 1))
     store.append_events(fresh, fresh.select("event_id", "raw"))
     events = store.read("events").where(col("event_id") > before)  # read again: parsed once
     nodes, edges = correlate.correlate(events)
@@ -50,9 +52,10 @@ def ingest(spark: SparkSession, path: str, store: Store, mappings: dict | None =
     store.upsert("edges", edges)
     alerts = detect.detect(events, rules)
     if alerts is not None:
-        store.insert_alerts(alerts)
-        own = store.read("alerts")
-        more_nodes, more_edges = correlate.alert_graph(own, store.read("events"))
+        # Only what is new enters the graph, so counts don't grow with every batch; its events are of this batch.
+        scratch = Scratch(spark, "alerts")
+        own = scratch.write("fresh", store.insert_alerts(scratch.write("found", alerts)))
+        more_nodes, more_edges = correlate.alert_graph(own, events)
         for name, key, more in (("nodes", "node_id", more_nodes), ("edges", "edge_id", more_edges)):
             if compat_upsert:
                 store.upsert(name, more)

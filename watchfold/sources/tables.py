@@ -44,7 +44,7 @@ class Store:
         return df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns)
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write a new version and point to it; the version before is dropped last."""
+        """Write a new version and point to it; the version before stays for its readers, older ones are dropped."""
         versions = self._versions(name)
         number = int(versions[-1].split("-")[0]) + 1 if versions else 0
         version = f"{number:08d}-{uuid.uuid4().hex}"
@@ -52,7 +52,7 @@ class Store:
         writer.parquet(f"{self.path}/{name}/{version}")
         fs, pointer = self._fs(f"{self.path}/{name}/_versions/{version}")
         fs.create(pointer).close()
-        for old in versions:
+        for old in versions[:-1]:
             remove(self.spark, f"{self.path}/{name}/_versions/{old}")
             remove(self.spark, f"{self.path}/{name}/{old}")
 
@@ -81,8 +81,11 @@ class Store:
         fresh = rows.dropDuplicates(["id", "event_id"]).join(self.read(name).select("id", "event_id"), ["id", "event_id"], "left_anti")
         self.append(name, fresh)
 
-    def insert_alerts(self, alerts: DataFrame) -> None:
-        """Alerts by id; a later one replaces an earlier one."""
-        both = self.read("alerts").withColumn("_age", F.lit(1)).unionByName(alerts.withColumn("_age", F.lit(0)))
+    def insert_alerts(self, alerts: DataFrame) -> DataFrame:
+        """Alerts by id; a later one replaces an earlier one.  Returns those whose id was not there before."""
+        before = self.read("alerts")
+        fresh = alerts.join(before.select("alert_id"), "alert_id", "left_anti").select(*before.columns)
+        both = before.withColumn("_age", F.lit(1)).unionByName(alerts.withColumn("_age", F.lit(0)))
         first = Window.partitionBy("alert_id").orderBy("_age", F.desc("ts_ms"))
         self.replace("alerts", both.withColumn("_n", F.row_number().over(first)).where(col("_n") == 1))
+        return fresh
