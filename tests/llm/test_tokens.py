@@ -79,7 +79,8 @@ def test_strings_of_added_tokens_are_the_librarys():
     assert library_ids(texts[:1]) == [[3306, 49407, 1002]]
 
 
-@pytest.mark.parametrize("limits, share", [(packing.Limits(), None), (packing.Limits(64, 3, 20), "doc_id % 2 = 0")])
+@pytest.mark.parametrize("limits, share", [(packing.Limits(), None), (packing.Limits(64, 3, 20), "doc_id % 2 = 0"), (packing.Limits(256, 200, 100), "doc_id % 3 > 0"),
+                                           (packing.Limits(512, 2, 512), None)])
 def test_packing_places_every_id_once_within_the_limits(docs, limits, share):
     from pyspark.sql.functions import expr
 
@@ -103,10 +104,50 @@ def test_packing_places_every_id_once_within_the_limits(docs, limits, share):
             assert r.offset == at
             at += r.length
         assert at <= limits.tokens and len(pieces) <= limits.segments
-        assert sum(r.length for r in pieces if not share or r.doc_id % 2 == 0) <= limits.loss
+        own = [r for r in pieces if not share or eval(share.replace(" = ", " == "), {"doc_id": r.doc_id})]
+        # The end id bears none.
+        assert [r.loss_tokens for r in own] == [r.length - (r.start + r.length == r.doc_tokens) for r in own]
+        assert sum(r.loss_tokens for r in pieces) == sum(r.loss_tokens for r in own) <= limits.loss
         padding += limits.tokens - at if at & (at - 1) else 0
-    if not share:
+    if limits == packing.Limits():
         assert padding == 0
+    else:  # each limit that is set low is reached
+        tokens, loss, count = (max(sum(f(r) for r in own) for own in by_sequence.values()) for f in (lambda r: r.length, lambda r: r.loss_tokens, lambda r: 1))
+        assert tokens == limits.tokens and (not share or loss == limits.loss) and (limits.segments > 3 or count == limits.segments)
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(96, 4, 40)])
+def test_packing_conversations(spark, limits, monkeypatch):
+    monkeypatch.setattr(packing, "TURNS", 5)
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    by_conv, by_sequence, ids, loss = defaultdict(list), defaultdict(list), defaultdict(list), defaultdict(list)
+    rows = sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn, r.text))
+    for r, own in zip(rows, library_ids([r.text for r in rows])):
+        own = [*own, 2]
+        ids[r.conv_id] += own
+        loss[r.conv_id] += [r.role == "assistant"] * len(own)
+    for r in packing.pack_conversations(turns, WORDS, 2, limits).collect():
+        by_conv[r.conv_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_conv) == set(ids)
+    for i, pieces in by_conv.items():
+        at, own = 0, np.array(ids[i], "<u4")
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(own[at:at + r.length].tobytes()) and r.loss_tokens == sum(loss[i][at:at + r.length])
+            at += r.length
+        assert at == len(own)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= limits.tokens and sum(r.segments for r in pieces) <= limits.segments and sum(r.loss_tokens for r in pieces) <= limits.loss
+    if limits.tokens < 2048:  # all three limits are reached
+        assert {max(sum(getattr(r, c) for r in p) for p in by_sequence.values()) for c in ("length", "segments", "loss_tokens")} == {96, 4, 40}
+    odd = spark.createDataFrame([(None, 1, None, None), (1, 1, "assistant", "a b"), (1, 1, "user", "a"), (2, None, "user", "")], "conv_id long, turn int, role string, text string")
+    got = packing.pack_conversations(odd, WORDS, 2).collect()
+    assert {(r.conv_id, r.start, r.length) for r in got} and sum(r.length for r in got) == 7
+    assert packing.pack_conversations(odd.limit(0), WORDS, 2).count() == 0
 
 
 def test_packing_bears_odd_rows(odd, none):
