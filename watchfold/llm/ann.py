@@ -4,33 +4,40 @@ Every tree hashes a vector to a string of ``BITS`` bits, the sides of random
 hyperplanes through the mean of a bounded sample, and keeps its strings sorted.
 A query descends each tree to its longest matching prefix by binary search, then
 all trees ascend together, a bit at a time, until the prefixes they stand at hold
-``ENOUGH`` of the shard's rows, counted with repeats over trees, and k rows
-beside the query's own, counted once.  Rows that share a query's whole string in a tree, its own among
-them, do not count there to ``ENOUGH``.  All rows under those prefixes are compared
-exactly, in double precision; no bucket is cut.  A shard of ``WHOLE`` rows or fewer
-is compared whole: there every row that all trees hold would be much of what is enough.
-
-Rows are indexed in even shards of about ``SHARD`` rows at most, written as a table.  Queries go to
-the shards in blocks of about ``QUERIES`` vectors, the bound that lets a block be
-broadcast, and each shard returns its k best.  Equal vectors of a shard are
-indexed once with their smallest ids, as many as a result can hold.
+enough of the shard's rows, counted with repeats over trees, and k rows beside the
+query's own, counted once.  Rows that share a query's whole string in a tree, its
+own among them, do not count there to what is enough.  All rows under those
+prefixes are compared exactly, in double precision; no bucket is cut.  What is
+enough falls with a shard's size, ``ENOUGH`` times (WHOLE / rows) ** ``FALL``: among
+more rows a neighbour is nearer.  A shard of ``WHOLE`` rows or fewer is compared
+whole: there every row that all trees hold would be much of what is enough.
+
+Rows are indexed in even shards of about ``SHARD`` rows at most, written as a table.
+Queries are written in blocks of ``QUERIES``, each with its hash strings, and one
+plan brings every block to every shard, where it streams past the shard's index;
+each shard returns its k best.  Equal vectors of a shard are indexed once with
+their smallest ids, as many as a result can hold.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import col
 
+from watchfold.llm.threads import one_thread
 from watchfold.shared import Scratch
 
 TREES = 64
 BITS = 48
-ENOUGH = 1.1
-SHARD = 16_384
+ENOUGH, FALL = 1.1, 0.17
+SHARD = 65_536
 WHOLE = 16 * TREES
-QUERIES = 4096
+QUERIES = 256
 #: Rows that the centre of the hyperplanes is fit on, at most.
 FIT = 10_000
 SEED = 5
@@ -63,6 +70,7 @@ class Forest:
             prefix = strings[t][:, None] & keep
             low[t] = np.searchsorted(self.hashes[t], prefix.ravel()).reshape(prefix.shape)
             high[t] = np.searchsorted(self.hashes[t], (prefix | rest).ravel(), "right").reshape(prefix.shape)
+        enough *= (WHOLE / n) ** FALL if n > WHOLE else 1
         # A tree whose longest match is shorter than x has an empty range at x and waits.
         size = (high - low).astype(np.int64)
         total = size.sum(axis=0)
@@ -94,13 +102,22 @@ def _planes(dim: int) -> np.ndarray:
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<float>").alias("v"))
+    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     return rows.where(col("id").isNotNull() & col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+def _dtype(vectors: DataFrame, vector_col: str) -> str:
+    """How vectors are held: floats as such, all else in double precision."""
+    return "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def _matrix(column: pa.Array, dim: int, dtype: str) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, dim)
+
+
+_ROW = "shard int, lane int, kind int, ids binary, owner binary, vectors binary, hashes binary, places binary"
+_NAMES = [part.split()[0] for part in _ROW.split(", ")]
 
 
 def build(vectors: DataFrame, scratch: Scratch, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -110,39 +127,38 @@ def build(vectors: DataFrame, scratch: Scratch, k: int, id_col: str = "vec_id",
     the most common one take no part.
     """
     rows = _valid(vectors, id_col, vector_col)
-    dim = rows.agg(F.mode(F.size("v"))).first()[0] or 1
-    rows = rows.where(F.size("v") == dim)
-    fit = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(FIT).collect()], np.float32).reshape(-1, dim)
-    centre = fit.mean(axis=0) if len(fit) else np.zeros(dim, np.float32)
+    dim = rows.agg(F.mode(F.size("v"), deterministic=True)).first()[0] or 1
+    rows, dtype = rows.where(F.size("v") == dim), _dtype(vectors, vector_col)
+    fit = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(FIT).collect()], float).reshape(-1, dim)
+    centre = fit.mean(axis=0) if len(fit) else np.zeros(dim)
 
     def shards(batches):
+        one_thread()
         ids, held = [], []
-
-        def shard():
-            own, v = np.concatenate(ids), np.concatenate(held)
-            order = np.argsort(own, kind="stable")
-            own, v = own[order], v[order]
-            first, same = np.unique(v, axis=0, return_index=True, return_inverse=True)[1:]
-            same = same.ravel()
-            by = np.argsort(same, kind="stable")
-            rank = np.arange(len(by)) - np.searchsorted(same[by], same[by])
-            keep = by[rank <= k]  # the smallest ids of equal vectors: k, and one that may be the query's own
-            forest = Forest.build(v[first], _planes(dim), centre)
-            return pa.RecordBatch.from_pylist([{
-                "ids": own[keep].tobytes(), "owner": same[keep].astype(np.int32).tobytes(), "vectors": forest.vectors.tobytes(),
-                "hashes": forest.hashes.tobytes(), "places": forest.order.tobytes()}], schema=schema)
-
-        schema = pa.schema([("ids", pa.binary()), ("owner", pa.binary()), ("vectors", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
         for b in batches:
             ids.append(b.column(0).to_numpy())
-            held.append(_matrix(b.column(1), dim))
-        if sum(map(len, ids)):
-            yield shard()
+            held.append(_matrix(b.column(1), dim, dtype))
+        if not sum(map(len, ids)):
+            return
+        own, v = np.concatenate(ids), np.concatenate(held)
+        order = np.argsort(own, kind="stable")
+        own, v = own[order], v[order]
+        first, same = np.unique(v, axis=0, return_index=True, return_inverse=True)[1:]
+        same = same.ravel()
+        by = np.argsort(same, kind="stable")
+        rank = np.arange(len(by)) - np.searchsorted(same[by], same[by])
+        keep = by[rank <= k]  # the smallest ids of equal vectors: k, and one that may be the query's own
+        forest = Forest.build(v[first], _planes(dim), centre)
+        yield _row(TaskContext.get().partitionId(), 0, own[keep], same[keep].astype(np.int32), forest.vectors, forest.hashes, forest.order)
 
     # Dealt in turn, so that shards are even whatever partitions the rows come in.
     even = rows.repartition(max(1, -(-rows.count() // SHARD)))
-    index = scratch.write("index", even.mapInArrow(shards, "ids binary, owner binary, vectors binary, hashes binary, places binary"))
-    return index, rows, centre
+    return scratch.write("index", even.mapInArrow(shards, _ROW)), rows, centre
+
+
+def _row(shard: int, kind: int, *parts: np.ndarray) -> pa.RecordBatch:
+    own = [p.tobytes() for p in parts] + [b""] * (5 - len(parts))
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (shard, 0, kind)] + [pa.array([x], pa.binary()) for x in own], _NAMES)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -156,41 +172,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     index, rows, centre = build(vectors, scratch, k, id_col, vector_col)
-    dim = len(centre)
-    asked = scratch.write("queries", _valid(queries, id_col, vector_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")))
-    blocks = max(1, -(-asked.count() // QUERIES))
-    found = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in own], np.int64), np.array([r.v for r in own], np.float32).reshape(-1, dim)))
-        part = index.mapInArrow(_searcher(sent, centre, k, enough), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    dim, dtype = len(centre), _dtype(vectors, vector_col)
+    asked = _valid(queries, id_col, vector_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+
+    def block(batches):
+        one_thread()
+        ids, held = np.zeros(0, np.int64), np.zeros((0, dim), dtype)
+        for b in chain(batches, [None]):
+            if b is not None:
+                ids, held = np.concatenate([ids, b.column(0).to_numpy()]), np.concatenate([held, _matrix(b.column(1), dim, dtype)])
+            while len(ids) >= QUERIES or b is None and len(ids):
+                now, v = ids[:QUERIES], held[:QUERIES]
+                ids, held = ids[QUERIES:], held[QUERIES:]
+                yield _row(0, 1, now, np.zeros(0, np.int32), v, hash_strings(v, _planes(dim), centre))
+
+    blocks = scratch.write("queries", asked.mapInArrow(block, _ROW))
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    # Where there are fewer shards than cores, copies of a shard share its blocks.
+    lanes = max(1, spark.sparkContext.defaultParallelism // shards)
+    copies = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    dealt = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    pairs = copies.unionByName(dealt.select(*_NAMES)).select(*_NAMES).repartitionById(shards * lanes, col("shard") * lanes + col("lane"))
+    found = pairs.sortWithinPartitions("kind").mapInArrow(_searcher(dim, dtype, k, enough), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(sent, centre: np.ndarray, k: int, enough: float):
+def _searcher(dim: int, dtype: str, k: int, enough: float):
     def search(batches):
-        query_ids, query = sent.value
-        dim = len(centre)
-        strings = hash_strings(query, _planes(dim), centre)
+        forest = None
         for b in batches:
-            for ids, owner, vectors, hashes, places in zip(*(c.to_pylist() for c in b.columns)):
-                ids, owner = np.frombuffer(ids, np.int64), np.frombuffer(owner, np.int32)
-                vectors = np.frombuffer(vectors, np.float32).reshape(-1, dim)
-                forest = Forest(vectors, np.frombuffer(hashes, np.uint64).reshape(TREES, -1), np.frombuffer(places, np.int32).reshape(TREES, -1))
-                start = np.searchsorted(owner, np.arange(len(vectors) + 1))
-                wide, out = vectors.astype(np.float64), []
-                for at in range(0, len(query), 256):
-                    for q, rows in enumerate(forest.candidates(strings[:, at:at + 256], enough, k), at):
-                        d = np.sqrt(((wide[rows] - query[q].astype(np.float64)) ** 2).sum(axis=1))
+            for _, _, kind, ids, owner, vectors, hashes, places in zip(*(c.to_pylist() for c in b.columns)):
+                if not kind:
+                    own_ids, owner, vectors = np.frombuffer(ids, np.int64), np.frombuffer(owner, np.int32), np.frombuffer(vectors, dtype).reshape(-1, dim)
+                    forest = Forest(vectors, np.frombuffer(hashes, np.uint64).reshape(TREES, -1), np.frombuffer(places, np.int32).reshape(TREES, -1))
+                    start, wide = np.searchsorted(owner, np.arange(len(vectors) + 1)), vectors.astype(np.float64)
+                elif forest is not None:
+                    query_ids, query = np.frombuffer(ids, np.int64), np.frombuffer(vectors, dtype).reshape(-1, dim).astype(np.float64)
+                    strings, out = np.frombuffer(hashes, np.uint64).reshape(TREES, -1), []
+                    for q, rows in enumerate(forest.candidates(strings, enough, k)):
+                        d = np.sqrt(((wide[rows] - query[q]) ** 2).sum(axis=1))
                         near = rows[d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]]
-                        d = dict(zip(rows.tolist(), d.tolist()))
-                        own = [(d[r], i) for r in near.tolist() for i in ids[start[r]:start[r + 1]].tolist() if i != query_ids[q]]
+                        d = np.sqrt(((wide[near] - query[q]) ** 2).sum(axis=1)).tolist()
+                        own = [(x, i) for r, x in zip(near.tolist(), d) for i in own_ids[start[r]:start[r + 1]].tolist() if i != query_ids[q]]
                         out += [(int(query_ids[q]), i, score) for score, i in sorted(own)[:k]]
-                query_id, vec_id, score = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+                    query_id, vec_id, score = zip(*out) if out else ((), (), ())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(query_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
     return search
