@@ -41,6 +41,15 @@ def test_lookup_finds_all_captures(spark, pages, monkeypatch):
     assert list(archive.lookup("http://nowhere.example/")) == []
 
 
+def test_parts_grow_beyond_their_number(spark, pages, monkeypatch):
+    for name, value in (("BLOCK_LINES", 3), ("PART_CAPTURES", 10), ("PARTS", 2), ("READ", 7)):
+        monkeypatch.setattr(warc, name, value)
+    archive = warc.write(pages, Scratch(spark, "test"))
+    assert len(archive.parts) == 2
+    got, want = warc.read(spark, archive).collect(), {r.page_id: r.html or "" for r in pages.collect()}
+    assert {r.page_id: r.payload_bytes for r in got} == {i: len(h.encode()) for i, h in want.items()} and len(got) == len(want)
+
+
 def test_damage_is_noticed():
     member = bytearray(warc._record(1, "http://a/", b"payload", "X" * 32, None, False))
     with pytest.raises(ValueError, match="digest"):

@@ -32,9 +32,13 @@ from watchfold.shared import Scratch
 
 #: Bytes after which a task begins another archive file.
 ARCHIVE_BYTES = 256_000_000
-#: Index lines of a block, and captures that a part is planned to hold.
+#: Index lines of a block, captures that a part is planned to hold, and the most parts: beyond that parts grow,
+#: by blocks, while the table of parts that is sent around stays as it is.
 BLOCK_LINES = 256
 PART_CAPTURES = 4096
+PARTS = 4096
+#: Captures of a part that are read at a time, in the order in which the archives hold them.
+READ = 16_384
 #: Archive files that a reader keeps open.
 OPEN_FILES = 64
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -225,7 +229,7 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col:
 
 
 def _write_index(captures: DataFrame, folder: str) -> list[tuple[str, str, str]]:
-    """Sort captures into parts of compressed blocks; one row per part reaches the driver."""
+    """Sort captures into parts of compressed blocks; one row per part, PARTS at most, reaches the driver."""
 
     def parts(batches):
         out, held, directory, at, last = None, [], [], 0, ""
@@ -254,7 +258,7 @@ def _write_index(captures: DataFrame, folder: str) -> list[tuple[str, str, str]]
         out.close()
         yield pa.RecordBatch.from_pylist([{"first": directory[0][0], "last": last, "uri": uri}])
 
-    n = max(1, captures.count() // PART_CAPTURES)
+    n = min(PARTS, max(1, captures.count() // PART_CAPTURES))
     order = ["key", "page_id", "uri", "at"]
     dealt = captures.repartitionByRange(n, *order).sortWithinPartitions(*order)
     written = dealt.mapInArrow(parts, "first string, last string, uri string").collect()
@@ -262,20 +266,25 @@ def _write_index(captures: DataFrame, folder: str) -> list[tuple[str, str, str]]
     return sorted((r["first"], r["last"], r["uri"]) for r in written)
 
 
+def _facts(r) -> tuple:
+    return r.page_id, r.payload_bytes, r.digest, r.record_type, r.refers_to
+
+
 def read(spark: SparkSession, archive: Archive) -> DataFrame:
     """All captures, through the index: page_id, payload_bytes, payload_digest, record_type, refers_to."""
 
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
     def load(batches):
         for b in batches:
             for uri in b.column(1).to_pylist():
                 store = _Files()
-                for _, at, size in _directory(store, uri):
-                    got = [parse_record(store.read(name, offset, length)) for _, _, name, offset, length in _block(store, uri, at, size)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r.page_id for r in got], pa.int64()), pa.array([r.payload_bytes for r in got], pa.int64()),
-                         pa.array([r.digest for r in got], pa.string()), pa.array([r.record_type for r in got], pa.string()),
-                         pa.array([r.refers_to for r in got], pa.int64())],
-                        ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                blocks, step = _directory(store, uri), max(1, READ // BLOCK_LINES)
+                for k in range(0, len(blocks), step):
+                    ranges = sorted(tuple(line[2:]) for _, at, size in blocks[k:k + step] for line in _block(store, uri, at, size))
+                    got = [_facts(parse_record(store.read(*r))) for r in ranges]  # a payload is dropped once it is checked
+                    yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*got), kinds)], names)
                 store.close()
 
     rows = [(i, p[2]) for i, p in enumerate(archive.parts)]
