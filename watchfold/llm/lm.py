@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import coalesce, col, lit
 
+from watchfold.llm.pieces import WordTable, in_blocks, space_words
 from watchfold.llm.threads import one_thread
 from watchfold.shared import Scratch
 
@@ -55,8 +56,8 @@ ROUNDS = 3
 RATE = 0.1
 PIECES = 16
 TRAINER_TOKENS, TRAINERS = 4_000_000, (8, 4096)
-#: Distinct words that a counting task holds, and documents that are scored side by side.
-DISTINCT = 400_000
+#: Distinct words that a counting or looking task holds, and documents that are scored side by side.
+DISTINCT = 700_000
 SCORED = 2048
 #: The end of a document; no word is empty.
 END = b""
@@ -132,11 +133,11 @@ class Model:
             d_states = np.empty((len(targets), HIDDEN), states.dtype)
         for a in range(0, len(targets), ROWS):
             some, mine = states[a:a + ROWS], own[a:a + ROWS]
-            logits, at = some @ classes, np.arange(len(mine))
-            logp[a:a + ROWS], total = _softmax(logits, at, mine)
+            logits = some @ classes
+            logp[a:a + ROWS], total, at = _softmax(logits, mine)
             if learn:
                 # The narrow factor is divided by the sums, not the wide one.
-                logits[at, mine] -= total
+                logits.ravel()[at] -= total
                 total = total[:, None]
                 grads["classes"] += (some / total).T @ logits
                 d_states[a:a + ROWS] = (logits @ classes[:-1].T) / total
@@ -149,11 +150,10 @@ class Model:
                 continue
             some, mine = states.take(rows, axis=0), words[low:high]
             logits = some @ mine.T
-            at, y = np.arange(len(rows)), targets[rows] - low
-            picked, total = _softmax(logits, at, y)
+            picked, total, at = _softmax(logits, targets[rows] - low)
             logp[rows] += picked
             if learn:
-                logits[at, y] -= total
+                logits.ravel()[at] -= total
                 total = total[:, None]
                 grads["words"][low:high] = logits.T @ (some / total)
                 d_states[rows] += (logits @ mine[:, :-1]) / total
@@ -193,12 +193,13 @@ def _bounded(weights: np.ndarray, axis: int) -> np.ndarray:
     return weights if most.max(initial=0) <= 60 else weights * np.minimum(1, 60 / most, dtype=weights.dtype)
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the picked columns; ``logits`` become their exponentials, whose sums are returned too."""
-    picked = logits[at, own]
+def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probabilities of each row's own column; ``logits`` become their exponentials.  Also those' sums, and where the own columns are in a row."""
+    at = np.arange(0, logits.size, logits.shape[1]) + own
+    picked = logits.ravel().take(at)
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
-    return picked - np.log(total), total
+    return picked - np.log(total), total, at
 
 
 class Trainer:
@@ -285,38 +286,65 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def _count(batches):
-    counter: Counter = Counter()
+    words: list[bytes] = []
+    counts, ends = np.zeros(1 << 16, np.int64), 0
+
+    def number(new):
+        words.extend(new)
+        return np.arange(len(words) - len(new), len(words), dtype=np.int32)
 
     def batch():
-        out = pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["word", "n"])
-        counter.clear()
+        nonlocal ends
+        out = pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array([*counts[:len(words)].tolist(), ends], pa.int64())], ["word", "n"])
+        words.clear()
+        table.clear()
+        counts[:], ends = 0, 0
         return out
 
+    table = WordTable(number)
     for b in batches:
-        for text in b.column(0).to_pylist():
-            counter.update(text.lower().split())
-            counter[END] += 1
-            if len(counter) > DISTINCT:
+        for block in in_blocks(b.column(0).to_pylist()):
+            raw, start, end, _ = space_words(block)
+            n = np.bincount(table(raw, start, end), minlength=len(words))
+            if len(n) > len(counts):
+                counts = np.concatenate([counts, np.zeros(max(len(counts), len(n)), np.int64)])
+            counts[:len(n)] += n
+            ends += len(block)
+            if len(words) > DISTINCT:
                 yield batch()
-    if counter:
+    if ends:
         yield batch()
 
 
-class _Places(dict):
-    """Word -> its place in a list; of other words minus one, less their rare class, which DISTINCT words keep."""
+class Places:
+    """Words to their places in a packed list; of other words minus one, less their rare class."""
+
+    def __init__(self, packed: bytes):
+        self.of = {w: i for i, w in enumerate(zlib.decompress(packed).split(b"\n")[:-1])}
+        self.end = self._new([END])[0]
+        self.table = WordTable(self._new)
+
+    def _new(self, words: list[bytes]) -> np.ndarray:
+        get = self.of.get
+        return np.array([at if (at := get(w)) is not None else -1 - zlib.crc32(w[-2:]) % RARE for w in words], np.int32)
 
-    def __missing__(self, word: bytes) -> int:
-        at = -1 - zlib.crc32(word[-2:]) % RARE
-        if len(self) < DISTINCT:
-            self[word] = at
-        return at
+    def __call__(self, texts: list[bytes]):
+        """For every text: the places of its words and its end, and a function from positions of words to the words."""
+        for block in in_blocks(texts):
+            if len(self.table) > DISTINCT:
+                self.table.clear()
+            raw, start, end, count = space_words(block)
+            cut = np.cumsum(count)
+            places, kept = np.split(self.table(raw, start, end), cut[:-1]), raw.tobytes()
+            for own, last, n in zip(places, cut.tolist(), count.tolist()):
+                first = last - n
+                yield np.append(own, self.end), lambda at, first=first: [
+                    kept[a:b] for a, b in zip(start[first + at].tolist(), end[first + at].tolist())]
 
 
 @lru_cache(maxsize=2)
-def _lookup(words: bytes):
-    """A function from words to their places in the packed list, or what ``_Places`` gives for others."""
-    get = _Places((w, i) for i, w in enumerate(zlib.decompress(words).split(b"\n")[:-1])).__getitem__
-    return lambda own: np.fromiter(map(get, own), np.int32, len(own))
+def _lookup(packed: bytes) -> Places:
+    return Places(packed)
 
 
 def _pack(words: list[bytes]) -> bytes:
@@ -408,8 +436,7 @@ def _trainer(sent, rate: float):
         docs = []
         for b in batches:
             number = b.column(0)[0].as_py()
-            for text in b.column(1).to_pylist():
-                own = place(tokens(text))
+            for own, _ in place(b.column(1).to_pylist()):
                 docs.append(np.where(own < 0, np.int32(model.rare - 1) - own, own))  # a rare class's place
                 if len(docs) == 16 * LANES:
                     trainer.learn(docs)
@@ -447,19 +474,18 @@ def _scorer(sent):
         row = TaskContext.get().partitionId() << 33
         for b in (b.slice(at, 2 * SCORED) for b in batches for at in range(0, b.num_rows, 2 * SCORED)):
             docs, facts, other = [], [], []
-            for text in b.column(2).to_pylist():
-                own = tokens(text)
-                at = place(own)
+            for at, word in place(b.column(2).to_pylist()):
                 missing = np.flatnonzero(at < 0)
+                unknown = word(missing[missing < len(at) - 1]) + [END] * int(at[-1] < 0)
                 known = at[at >= 0]
                 at[at >= 0] = in_model[known]
                 at[missing] = model.rare - 1 - at[missing]
                 docs.append(at)
                 own_logs, rare = float(logs[known].sum()), at[at >= model.rare] - model.rare
                 more = float(logs[known[known >= VOCABULARY]].sum()) - float(room[rare].sum())
-                facts.append((row, len(own), len(known), own_logs, more))
-                if len(missing):
-                    other.append((row, Counter(map(own.__getitem__, missing.tolist()))))
+                facts.append((row, len(at), len(known), own_logs, more))
+                if unknown:
+                    other.append((row, Counter(unknown)))
                 row += 1
             f = list(zip(*facts)) or [()] * 5
             scores = score(model, docs) / np.log(10) + np.array(f[4], float)
