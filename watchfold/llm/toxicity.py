@@ -41,7 +41,7 @@ BUCKETS = 1 << 18
 REJECT = 0.7
 SPAN = 0.5
 #: Characters of text whose tokens are scored at a time; whole documents only.
-CHARS = 24_000_000
+CHARS = 6_000_000
 
 _RUN = rf"\w{{1,{LONGEST}}}"
 _run = re.compile(_RUN)
@@ -61,10 +61,15 @@ class _Lowered:
     def __init__(self):
         self.given, self.lowered = _Numbers(), _Numbers()
 
-    def __call__(self, found: list[list[str]]) -> list[np.ndarray]:
-        rows = [np.fromiter(map(self.given.__getitem__, own), np.int64, len(own)) for own in found]
-        to = np.fromiter((self.lowered[w.lower()] for w in self.given.new), np.int64, len(self.given.new))
-        return [to[own] for own in rows]
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words in a row, and how many each text has; the words of one text are held at a time."""
+        rows, length = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = _pattern(text).findall(text)
+            rows.append(np.fromiter(map(self.given.__getitem__, own), np.int32, len(own)))
+            length[i] = len(own)
+        to = np.fromiter((self.lowered[w.lower()] for w in self.given.new), np.int32, len(self.given.new))
+        return to[np.concatenate(rows)], length
 
     @property
     def words(self) -> list[str]:
@@ -162,9 +167,8 @@ class Field:
     def tag(self, texts: list[str]):
         """Of all tokens in a row: word number and P(toxic); each text's number of tokens."""
         lowered = _Lowered()
-        number = lowered([_pattern(text).findall(text) for text in texts])
-        length = np.fromiter(map(len, number), np.int64, len(number))
-        number, words = np.concatenate(number) if number else np.zeros(0, np.int64), lowered.words
+        number, length = lowered(texts)
+        words = lowered.words
         emission = np.concatenate([self.weights[features(words[at:at + 50_000])].sum(axis=1) for at in range(0, len(words), 50_000)]
                                   or [np.zeros(0)])
         packed = Packed.of(length)
@@ -224,8 +228,8 @@ def train(sample: list[tuple[str, int]], seed: int = 11, steps: int = 60) -> Fie
     fold = rng.random(len(sample)) < 2 / 3
     lowered = _Lowered()
     chosen = [(text, int(toxic)) for (text, toxic), own in zip(sample, fold) if own]
-    numbers = lowered([_pattern(text).findall(text) for text, _ in chosen])
-    rows = [(own.astype(np.int32), toxic) for own, (_, toxic) in zip(numbers, chosen) if len(own)]
+    number, length = lowered([text for text, _ in chosen])
+    rows = [(own, toxic) for own, (_, toxic) in zip(np.split(number, np.cumsum(length)[:-1]), chosen) if len(own)]
     words = lowered.words
     buckets = features(words)
     marks = _mine([(np.unique(number), toxic) for number, toxic in rows], buckets)
