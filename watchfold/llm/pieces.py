@@ -8,9 +8,9 @@ import numpy as np
 
 #: Pieces that a table holds before it starts anew; bounds a worker's memory, never the result.
 PIECES = 500_000
-LATIN_PIECES = 1_000_000
+LATIN_PIECES = 400_000
 #: Characters of text that are split and encoded at a time.
-CHARS = 4_000_000
+CHARS = 2_000_000
 
 
 class _Numbers(dict):

@@ -41,7 +41,7 @@ BUCKETS = 1 << 18
 REJECT = 0.7
 SPAN = 0.5
 #: Characters of text whose tokens are scored at a time; whole documents only.
-CHARS = 6_000_000
+CHARS = 4_000_000
 
 _RUN = rf"\w{{1,{LONGEST}}}"
 _run = re.compile(_RUN)
