@@ -93,19 +93,19 @@ def build_forest(shard: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return key
 
 
-def search_forest(shard: np.ndarray, fp: np.ndarray, key: np.ndarray, radius: int = RADIUS):
-    """Pairs of rows (probe, node), probe < node, at most ``radius`` bits apart in one shard."""
+def search_forest(shard: np.ndarray, fp: np.ndarray, key: np.ndarray, radius: int = RADIUS, parts: list[np.ndarray] | None = None):
+    """Pairs of rows (probe, node) at most ``radius`` bits apart in one shard: each once, or all of the probes in ``parts``, a part at a time."""
     order = np.argsort(key)
     edges = key[order]
     roots = np.zeros(int(shard.max()) + 1, np.int64)
     is_root = key < 0
     roots[shard[is_root]] = np.flatnonzero(is_root)
-    for at in range(0, len(fp), PROBES):
-        probe = np.arange(at, min(len(fp), at + PROBES))
+    every = parts is None
+    for probe in (np.arange(at, min(len(fp), at + PROBES)) for at in range(0, len(fp), PROBES)) if every else parts:
         node = roots[shard[probe]]
         while len(probe):
             d = np.bitwise_count(fp[probe] ^ fp[node]).astype(np.int64)
-            hit = (d <= radius) & (probe < node)
+            hit = (d <= radius) & (probe < node if every else probe != node)
             if hit.any():
                 yield probe[hit], node[hit]
             low = np.searchsorted(edges, node * 65 + np.maximum(d - radius, 1))
