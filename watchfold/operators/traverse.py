@@ -6,7 +6,7 @@ round long and lost executors cost one round at most.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import col, lit
@@ -31,20 +31,21 @@ class Options:
         known = [t for t in self.etypes if t in schema.EDGE_TYPES]
         return kept.where(col("etype").isin(known)) if known else kept
 
-    def steps(self, edges: DataFrame) -> DataFrame:
-        """(at, to, edge_id): the steps that the edges allow."""
+    def onward(self, edges: DataFrame, frontier: DataFrame) -> DataFrame:
+        """(at, to, edge_id): the steps from a frontier's nodes (node_id) along edges that count.
+
+        The frontier filters each end by a semi-join, which moves below whatever
+        makes the edges (a fold by their ends, too): a small frontier costs a scan,
+        without a shuffle or a copy of the edges.
+        """
         own = self.edges(edges)
-        out = own.select(col("src_id").alias("at"), col("dst_id").alias("to"), "edge_id")
-        back = own.select(col("dst_id").alias("at"), col("src_id").alias("to"), "edge_id")
-        return {"out": out, "in": back, "both": out.unionByName(back)}[self.direction]
 
+        def way(at, to):
+            near = own.join(frontier.select(col("node_id").alias(at)), at, "left_semi")
+            return near.select(col(at).alias("at"), col(to).alias("to"), "edge_id")
 
-def _written(scratch: Scratch, edges: DataFrame, options: Options, hops: int | None) -> tuple[DataFrame, DataFrame]:
-    """The edges that count and their steps; for more than one hop the edges are written once, not worked out each hop."""
-    own = options.edges(edges)
-    if hops is None or hops > 1:
-        own = scratch.write("edges", own)
-    return own, Options(direction=options.direction).steps(own)
+        out, back = way("src_id", "dst_id"), way("dst_id", "src_id")
+        return {"out": out, "in": back, "both": out.unionByName(back)}[self.direction]
 
 
 def k_hop(nodes: DataFrame, edges: DataFrame, seed, hops: int | None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
@@ -55,19 +56,18 @@ def k_hop(nodes: DataFrame, edges: DataFrame, seed, hops: int | None, options: O
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "hops")
-    edges, steps = _written(scratch, edges, options, hops)
     start = nodes.where(col("node_id") == lit(seed)).select("node_id", lit(0).alias("hop"))
     frontier = scratch.write("ring0", start)
     visited, followed, hop = frontier, None, 0
     while (hops is None or hop < hops) and not frontier.isEmpty():
         hop += 1
-        taken = scratch.write(f"steps{hop}", steps.join(frontier.select(col("node_id").alias("at")), "at").select("to", "edge_id"))
+        taken = scratch.write(f"steps{hop}", options.onward(edges, frontier).select("to", "edge_id"))
         fresh = taken.select(col("to").alias("node_id")).distinct().join(visited.select("node_id"), "node_id", "left_anti")
         frontier = scratch.write(f"ring{hop}", fresh.select("node_id", lit(hop).alias("hop")))
         visited = visited.unionByName(frontier)
         followed = taken if followed is None else followed.unionByName(taken)
     ids = edges.select("edge_id").limit(0) if followed is None else followed.select("edge_id").distinct()
-    return visited, edges.join(ids, "edge_id", "left_semi").select(*edges.columns)
+    return visited, options.edges(edges).join(ids, "edge_id", "left_semi").select(*edges.columns)
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, seed, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
@@ -76,18 +76,17 @@ def neighbors(nodes: DataFrame, edges: DataFrame, seed, options: Options = Optio
 
 def reachable(nodes: DataFrame, edges: DataFrame, seed, options: Options = Options()) -> DataFrame:
     """node_id of all that can be reached from a seed, itself included."""
-    return k_hop(nodes, edges, seed, None, options)[0].select("node_id")
+    return distances(nodes, edges, nodes.where(col("node_id") == lit(seed)), None, options).select("node_id")
 
 
 def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: int | None, options: Options = Options()) -> DataFrame:
     """(node_id, hop): hops from the nearest of many seeds, as far as ``most``."""
     scratch = Scratch(nodes.sparkSession, "rings")
-    steps = _written(scratch, edges.select("src_id", "dst_id", "edge_id", "etype", "first_seen", "last_seen"), options, most)[1].select("at", "to")
     frontier = scratch.write("ring0", seeds.select("node_id").distinct().select("node_id", lit(0).alias("hop")))
     visited, hop = frontier, 0
     while (most is None or hop < most) and not frontier.isEmpty():
         hop += 1
-        found = steps.join(frontier.select(col("node_id").alias("at")), "at").select(col("to").alias("node_id")).distinct()
+        found = options.onward(edges, frontier).select(col("to").alias("node_id")).distinct()
         frontier = scratch.write(f"ring{hop}", found.join(visited.select("node_id"), "node_id", "left_anti").select("node_id", lit(hop).alias("hop")))
         visited = visited.unionByName(frontier)
     return visited
@@ -96,8 +95,10 @@ def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: int |
 def shortest_path(nodes: DataFrame, edges: DataFrame, src, dst, options: Options = Options()) -> list[tuple] | None:
     """[(node, edge that led there)] from src to dst by fewest hops, None where there is no path.
 
-    Ties go to the smallest edge id at each step back.  Each round keeps one way
-    to every node, and only the path itself, a row for each hop, reaches the driver.
+    Rings grow from both ends, the smaller one first, until they meet; of the rings
+    before dst only nodes on shortest paths stay.  Then the path is walked back from dst:
+    ties go to the smallest edge id at each step.  Only the path itself, a row for
+    each hop, reaches the driver.
     """
     spark = nodes.sparkSession
     if nodes.where(col("node_id").isin(src, dst)).select("node_id").distinct().count() < len({src, dst}):
@@ -105,23 +106,33 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, src, dst, options: Options
     if src == dst:
         return [(src, None)]
     scratch = Scratch(spark, "path")
-    steps = _written(scratch, edges.select("src_id", "dst_id", "edge_id", "etype", "first_seen", "last_seen"), options, None)[1]
-    frontier = visited = scratch.write("ring0", nodes.where(col("node_id") == lit(src)).select("node_id"))
-    rings = []
+    against = replace(options, direction={"out": "in", "in": "out", "both": "both"}[options.direction])
+    sides = [(options, "ahead", []), (against, "behind", [])]
+    for (_, name, rings), end in zip(sides, (src, dst)):
+        rings.append((scratch.write(f"{name}0", nodes.where(col("node_id") == lit(end)).select("node_id").distinct()), 1))
     while True:
-        taken = steps.join(frontier.select(col("node_id").alias("at")), "at")
-        way = taken.groupBy(col("to").alias("node_id")).agg(F.min(F.struct("edge_id", "at")).alias("way"))
-        ring = scratch.write(f"ring{len(rings) + 1}", way.join(visited, "node_id", "left_anti"))
-        rings.append(ring)
-        if ring.isEmpty():
+        own, name, rings = min(sides, key=lambda side: side[2][-1][1])
+        found = own.onward(edges, rings[-1][0]).select(col("to").alias("node_id")).distinct()
+        for ring, _ in rings:
+            found = found.join(ring, "node_id", "left_anti")
+        ring = scratch.write(f"{name}{len(rings)}", found)
+        rings.append((ring, ring.count()))
+        if not rings[-1][1]:
             return None
-        if not ring.where(col("node_id") == lit(dst)).isEmpty():
+        met = ring.join(next(r for o, n, r in sides if n != name)[-1][0], "node_id", "left_semi")
+        if not met.isEmpty():
             break
-        frontier = ring.select("node_id")
-        visited = visited.unionByName(frontier)
+    ahead, behind = ([ring for ring, _ in rings] for _, _, rings in sides)
+    # Nodes at each hop from src that shortest paths go through, from where the rings met to dst.
+    through = [ahead[-1].join(behind[-1], "node_id", "left_semi")]
+    for i, ring in enumerate(reversed(behind[:-1])):
+        after = options.onward(edges, through[-1]).select(col("to").alias("node_id")).distinct().join(ring, "node_id", "left_semi")
+        through.append(scratch.write(f"through{i}", after))
     path, at = [], dst
-    for ring in reversed(rings):
-        way = ring.where(col("node_id") == lit(at)).first().way
+    for ring in reversed([*ahead[:-1], *through][:-1]):
+        last = nodes.where(col("node_id") == lit(at)).select("node_id").distinct()
+        ways = against.onward(edges, last).select("edge_id", col("to").alias("node_id")).join(ring, "node_id", "left_semi")
+        way = ways.agg(F.min(F.struct("edge_id", "node_id")).alias("way")).first().way
         path.append((at, way.edge_id))
-        at = way.at
+        at = way.node_id
     return [(src, None), *reversed(path)]
