@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchfold import shared
-from watchfold.operators import traverse
+from watchfold.operators import centrality, traverse
 from watchfold.operators.traverse import Options
 
 EDGE = "src_id string, dst_id string, etype string, ts_ms long"
@@ -31,6 +31,36 @@ def _graph(spark, pairs):
     return nodes, folded.withColumn("edge_id", F.concat_ws(":", "src_id", "dst_id", "etype"))
 
 
+def _ranks(nodes, pairs, rounds=40, d=0.85):
+    n, out = len(nodes), {a: sum(x == a for x, _ in pairs) for a, _ in pairs}
+    rank = dict.fromkeys(nodes, 1 / n)
+    for _ in range(rounds):
+        base = (1 - d) / n + d * sum(r for i, r in rank.items() if i not in out) / n
+        new = dict.fromkeys(nodes, base)
+        for a, b in pairs:
+            if b in new:
+                new[b] += d * rank[a] / out[a]
+        rank = new
+    return rank
+
+
+def test_pagerank_ends_with_the_longest_way(spark, written):
+    pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("c", "unknown"), ("e", "d")]
+    nodes, edges = _graph(spark, pairs)
+    got = {r.node_id: r.score for r in centrality.pagerank(nodes, edges).collect()}
+    assert got == pytest.approx(_ranks("abcde", pairs), abs=1e-12)
+    assert len(written) <= 6
+
+
+def test_pagerank_of_a_cycle_takes_all_rounds(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "d")]
+    nodes, edges = _graph(spark, pairs)
+    for few in (0, centrality.FEW):
+        monkeypatch.setattr(centrality, "FEW", few)
+        got = {r.node_id: r.score for r in centrality.pagerank(nodes, edges, iterations=7).collect()}
+        assert got == pytest.approx(_ranks("abcd", pairs, 7), abs=1e-12)
+
+
 def test_a_frontier_filters_edges_below_their_fold(spark, written):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "f"), ("f", "d"), ("d", "a")]
     nodes, edges = _graph(spark, pairs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.functions import col, lit
 
@@ -11,6 +13,8 @@ from watchfold.shared import Scratch
 
 DAMPING, ITERATIONS = 0.85, 40
 ALERT_HOPS = 3
+#: Rows of a table that is broadcast, at most.
+FEW = 300_000
 # What a node's kind adds to its risk.
 KIND_WEIGHT = {"alert": 1.0, "ioc": 0.9, "privilege": 0.5, "certificate": 0.5, "process": 0.25, "user": 0.25, "host": 0.25}
 
@@ -28,43 +32,47 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """(node_id, score): a fixed number of rounds; nodes without out-edges spread their score evenly.
 
-    Parallel edges each take a share; edges to unknown nodes take it away.  Each
-    source's share is worked out once.  A round is one job with one exchange beside
-    the join on the source: what arrives at a target and the targets themselves are
-    united before the aggregate.  Its result is written, so rounds don't pile up,
-    and the write observes the mass of nodes without out-edges, which the next
-    round spreads.  The edges are not bucketed by source: a source with a large
-    part of them would be one task, whereas a skewed join is split.
+    Parallel edges each take a share; edges to unknown nodes take it away.  A
+    round gives each node the same base and what arrives along edges.  So scores
+    after t rounds are the sum over j of the base of round t - j times the weight of the ways of
+    j edges that end in a node, and only those weights are tables: they don't depend
+    on the bases, and they end with the longest way, so that a graph without
+    cycles takes as many rounds as its longest way has edges.  Each weight table is
+    written with the mass of nodes without out-edges, from which the bases follow.
+    The edges are not bucketed by source: a source with a large part of them would be
+    one task, whereas a skewed join is split.
     """
-    spark = nodes.sparkSession
-    scratch = Scratch(spark, "pagerank")
-    pairs = scratch.write("pairs", edges.groupBy("src_id", "dst_id").agg(F.count(lit(1)).alias("m")))
-    out = pairs.groupBy("src_id").agg(F.sum("m").alias("n_out"))
-    size = Observation()
-    own = nodes.select("node_id").join(out, col("node_id") == col("src_id"), "left").select(
-        "node_id", F.monotonically_increasing_id().alias("id"), "n_out", col("n_out").isNull().alias("dangling"))
-    own = scratch.write("nodes", own.observe(size, F.count(lit(1)).alias("n"), F.count_if("dangling").alias("dangling")))
-    n = size.get["n"]
+    scratch = Scratch(nodes.sparkSession, "pagerank")
+    return _pagerank(scratch, nodes, scratch.write("edges", edges.select("src_id", "dst_id")), damping, iterations)
+
+
+def _pagerank(scratch: Scratch, nodes: DataFrame, edges: DataFrame, damping: float, iterations: int) -> DataFrame:
+    out = edges.groupBy(col("src_id").alias("node_id")).agg(F.count(lit(1)).alias("n_out"))
+
+    def written(name, df):
+        """The table, its rows, those with out-edges, and the weight of the others."""
+        facts = Observation()
+        ends = col("n_out").isNull()
+        df = df.select("node_id", "n_out", "weight").observe(facts, F.count(lit(1)).alias("n"), F.count_if(~ends).alias("going"), F.sum(F.when(ends, col("weight"))).alias("mass"))
+        df = scratch.write(name, df)
+        return df, facts.get["n"], facts.get["going"], facts.get["mass"] or 0.0
+
+    own, n, going, mass = written("ways0", nodes.select("node_id").join(out, "node_id", "left").withColumn("weight", lit(1.0)))
     if not n:
         return own.select("node_id", lit(0.0).alias("score"))
-    # Rounds go by numbers, which the written table fixes, instead of names.
-    shares = pairs.join(own.select(col("node_id").alias("src_id"), col("id").alias("src"), "n_out"), "src_id").join(
-        own.select(col("node_id").alias("dst_id"), col("id").alias("dst")), "dst_id")
-    shares = scratch.write("edges", shares.select("src", "dst", (damping * col("m") / col("n_out")).alias("share")))
-    ranks, dangling = own.select("id", "dangling", lit(1.0 / n).alias("score")), size.get["dangling"] / n
-    targets = own.select("id", "dangling", lit(0.0).alias("got"))
-    for i in range(iterations):
-        base = (1 - damping) / n + damping * dangling / n
-        got = shares.join(ranks.select(col("id").alias("src"), "score"), "src").select(
-            col("dst").alias("id"), lit(None).cast("boolean").alias("dangling"), (col("share") * col("score")).alias("got"))
-        both = targets.unionByName(got).groupBy("id").agg(F.max("dangling").alias("dangling"), F.sum("got").alias("got"))
-        ranks = both.select("id", "dangling", (lit(base) + col("got")).alias("score"))
-        mass = Observation()
-        ranks = scratch.write(f"round{i}", ranks.observe(mass, F.sum(F.when(col("dangling"), col("score"))).alias("dangling")))
-        dangling = mass.get["dangling"] or 0.0
-        if i:
-            scratch.drop(f"round{i - 1}")
-    return own.select("node_id", "id").join(ranks.select("id", "score"), "id").select("node_id", "score")
+    ways, masses = [own], [mass]
+    while going and len(ways) <= iterations:
+        shares = ways[-1].where("n_out IS NOT NULL").select(col("node_id").alias("src_id"), (damping * col("weight") / col("n_out")).alias("share"))
+        shares = F.broadcast(shares) if going <= FEW else shares
+        got = edges.join(shares, "src_id").groupBy(col("dst_id").alias("node_id")).agg(F.sum("share").alias("weight"))
+        now, _, going, mass = written(f"ways{len(ways)}", own.select("node_id", "n_out").join(got, "node_id"))
+        ways.append(now)
+        masses.append(mass)
+    bases = [1.0 / n]
+    for t in range(iterations):
+        bases.append((1 - damping) / n + damping / n * sum(base * m for base, m in zip(reversed(bases), masses)))
+    parts = [w.select("node_id", (lit(base) * col("weight")).alias("score")) for base, w in zip(reversed(bases), ways)]
+    return reduce(DataFrame.unionAll, parts).groupBy("node_id").agg(F.sum("score").alias("score"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, options: Options = Options()) -> DataFrame:
@@ -94,10 +102,10 @@ def risk(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS) -> Da
     """(node_id, score), 0 to 100: centrality, nearness to alerts within ALERT_HOPS, and the kind's weight."""
     scratch = Scratch(nodes.sparkSession, "risk")
     nodes = scratch.write("nodes", nodes.select("node_id", "kind"))
-    edges = scratch.write("edges", edges.select("src_id", "dst_id", "etype", "first_seen", "last_seen", "edge_id"))  # read by the rounds and the rings
-    ranks = pagerank(nodes, edges, DAMPING, iterations)
+    edges = scratch.write("edges", edges.select("src_id", "dst_id"))  # read by the rounds and the rings
+    ranks = scratch.write("ranks", _pagerank(scratch, nodes, edges, DAMPING, iterations))
     top = max(ranks.agg(F.max("score")).first()[0] or 0.0, 1e-9)
-    near = distances(nodes, edges, nodes.where("kind = 'alert'"), ALERT_HOPS)
+    near = distances(nodes, edges.withColumn("edge_id", lit(None)), nodes.where("kind = 'alert'"), ALERT_HOPS)
     proximity = F.coalesce(F.pow(lit(0.5), col("hop")), lit(0.0))
     total = 0.45 * col("score") / top + 0.40 * proximity + 0.15 * kind_weight()
     joined = nodes.select("node_id", "kind").join(ranks, "node_id").join(near, "node_id", "left")
