@@ -64,6 +64,16 @@ class Scratch:
                 shutil.rmtree(self.path.removeprefix("file://"), ignore_errors=True)
 
 
+def release_unread(made: list[Scratch], df: DataFrame) -> None:
+    """Drop those of the scratch tables whose files ``df`` doesn't read, and take them off the list."""
+    files = df.inputFiles() if made else []
+    for scratch in [s for s in made if not any(s.path.rsplit("/", 1)[1] in f.split("/") for f in files)]:
+        made.remove(scratch)
+        if scratch in Scratch.live:
+            Scratch.live.remove(scratch)
+            scratch.close()
+
+
 def release() -> None:
     """Drop all scratch tables; for a long session, once the results that rest on them are written or no longer wanted."""
     while Scratch.live:
