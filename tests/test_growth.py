@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from watchfold import shared
+from watchfold import catalog, shared
 from watchfold.operators import centrality, traverse
 from watchfold.operators.traverse import Options
 
@@ -73,3 +73,9 @@ def test_a_frontier_filters_edges_below_their_fold(spark, written):
     assert [n for n, _ in traverse.shortest_path(nodes, edges, "f", "b", Options(direction="both"))] in (["f", "d", "c", "b"], ["f", "e", "a", "b"], ["f", "d", "a", "b"])
     assert traverse.shortest_path(nodes, edges, "d", "f", Options(direction="in")) == [("d", None), ("f", "f:d:USED")]
     assert not any(columns >= {"src_id", "dst_id"} for _, columns, _ in written)
+
+
+def test_graphs_folded_by_one_key_are_united_without_a_shuffle(spark):
+    df = catalog.QUERIES["validity_merge"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[:plan.index("Union")]

@@ -177,7 +177,7 @@ def _halves(spark, sf):
 
 @query
 def validity_merge(spark, sf):
-    return fold.union_graphs(*_halves(spark, sf), "edge_id").select("edge_id", "first_seen", "last_seen", "event_count", "weight")
+    return fold.union_graphs(*_halves(spark, sf), "edge_id", "src_id", "dst_id", "etype").select("edge_id", "first_seen", "last_seen", "event_count", "weight")
 
 
 @query

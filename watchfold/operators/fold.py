@@ -35,11 +35,14 @@ def with_props(nodes: DataFrame, props: DataFrame) -> DataFrame:
         *(F.coalesce("own", "props").alias("props") if c == "props" else c for c in nodes.columns))
 
 
-def union_graphs(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """Two graphs' nodes or edges as one: intervals united and counts added; all else from the first that has it."""
+def union_graphs(first: DataFrame, second: DataFrame, *key: str) -> DataFrame:
+    """Two graphs' nodes or edges as one: intervals united and counts added; all else from the first that has it.
+
+    Columns that a key fixes may be named with it: where both sides were folded by some of them, nothing is shuffled again.
+    """
     both = first.withColumn("_order", lit(0)).unionByName(second.withColumn("_order", lit(1)))
-    own = [c for c in first.columns if c not in (key, "first_seen", "last_seen", "event_count", "props")]
-    folded = both.groupBy(key).agg(
+    own = [c for c in first.columns if c not in (*key, "first_seen", "last_seen", "event_count", "props")]
+    folded = both.groupBy(*key).agg(
         *(F.min_by(c, "_order").alias(c) for c in own), *scalars.merged(),
         F.min_by("props", "_order").alias("_p0"), F.max_by("props", "_order").alias("_p1"))
     keep = F.map_filter("_p1", lambda k, _: ~F.map_contains_key("_p0", k))
