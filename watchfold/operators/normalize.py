@@ -56,12 +56,14 @@ def _assignments(mappings: dict[str, Mapping]) -> tuple[Column, Column]:
     return F.filter(everything, lambda a: a["v"].isNotNull()), F.concat(F.array(lit("EventID")), F.transform(everything, lambda a: a["source"]))
 
 
-def _windows(records: DataFrame, mappings: dict[str, Mapping]) -> DataFrame:
+def _windows(records: DataFrame, mappings: dict[str, Mapping]) -> tuple[DataFrame, Column]:
+    """The records with what their events need ("assigned" to "set", null but for Windows events), and the event as a struct."""
     assigned, used = _assignments(mappings)
-    df = records.withColumns({"assigned": assigned, "used": used, "code": scalars.whole(_field("EventID")).try_cast("int")})
+    only = lambda c: F.when(col("kind") == "event", c)
+    df = records.withColumns({"assigned": only(assigned), "used": only(used), "code": only(scalars.whole(_field("EventID")).try_cast("int"))})
     last = lambda test: F.try_element_at(F.filter("assigned", test), lit(-1))["v"]
     class_uid = F.coalesce(F.element_at(F.create_map(*(lit(x) for k, m in mappings.items() for x in (k, m.class_uid))), _field("EventID")), lit(schema.UNMAPPED))
-    df = _once(df.withColumn("class_uid", class_uid.cast("int")))
+    df = _once(df.withColumn("class_uid", only(class_uid.cast("int"))))
     share = (col("class_uid") == schema.NETWORK) & _field("ShareName").isNotNull()
     known = _coded
     of = lambda path: lambda a: a["k"] == path
@@ -76,9 +78,9 @@ def _windows(records: DataFrame, mappings: dict[str, Mapping]) -> DataFrame:
         maps.entry("auth_protocol", scalars.logon_type(_field("LogonType"))),
         maps.entry("activity_name", F.when(share, "Share Access").otherwise(known("activity_name"))),
         maps.entry("status", known("status")), maps.entry("severity", known("severity")), maps.entry("share_name", F.when(share, _field("ShareName"))))
-    df = _once(df.withColumn("set", F.concat(keep(hosts), keep(plain), added)))
+    df = _once(df.withColumn("set", only(F.concat(keep(hosts), keep(plain), added))))
     extra = F.map_filter("fields", lambda k, _: k.startswith("env.") | ~F.array_contains("used", k))
-    return df.select(
+    return df, F.struct(
         *_keys(df), "class_uid", F.when(share, SHARE_ACCESS).otherwise(known("activity_id")).cast("int").alias("activity_id"), col("code").alias("event_code"),
         F.coalesce("host", first_host).alias("host"), *(last(of(p)).alias(c) for p, c in TEXT_COLUMNS.items()),
         *(scalars.pid(last(number_of(p))).alias(c) for p, c in PID_COLUMNS.items()),
@@ -98,11 +100,11 @@ def _keys(df: DataFrame) -> list[str]:
     return [c for c in ("line_no", "ts_ms") if c in df.columns]
 
 
-def _columns(records: DataFrame, class_uid: int, typed: dict[str, Column], fields: dict[str, str], activity: int | None = None) -> DataFrame:
-    """Events of a record kind whose columns are known."""
+def _columns(records: DataFrame, class_uid: int, typed: dict[str, Column], fields: dict[str, str], activity: int | None = None) -> Column:
+    """The event, as a struct, of a record kind whose columns are known."""
     null = lambda kind: lit(None).cast(kind)
     names = [*TEXT_COLUMNS.values()]
-    return records.select(
+    return F.struct(
         *_keys(records), lit(class_uid).alias("class_uid"), lit(activity).cast("int").alias("activity_id"), null("int").alias("event_code"), "host",
         *(typed.get(n, null("string")).alias(n) for n in names), *(typed.get(n, null("bigint")).alias(n) for n in PID_COLUMNS.values()),
         null("int").alias("status_id"), null("int").alias("severity_id"),
@@ -111,19 +113,24 @@ def _columns(records: DataFrame, class_uid: int, typed: dict[str, Column], field
 
 
 def normalize(records: DataFrame, mappings: dict[str, Mapping]) -> DataFrame:
-    """Raw records to events; never fails, and no source field is lost: what has no place is in ``extra``."""
-    kind = lambda k: records.where(col("kind") == k)
-    parts = [
-        _windows(kind("event"), mappings),
-        _columns(kind("network"), schema.NETWORK,
-                 {"src_ip": _field("src_ip"), "dst_ip": _field("dst_ip"), "process_name": _field("process"), "process_pid": scalars.pid(_field("pid"))},
-                 {"protocol": "connection.protocol", "src_port": "src_endpoint.port", "dst_port": "dst_endpoint.port"}),
-        _columns(kind("process"), schema.PROCESS,
-                 {"user_name": _field("user"), "process_name": _field("process"), "process_pid": scalars.pid(_field("pid")), "parent_pid": scalars.pid(_field("parent_pid"))},
-                 {"full_path": "process.file.path", "parent_folder": "process.parent_folder", "parent_process": "parent_process.name"}, activity=1),
-        _columns(kind("integrity"), schema.FILE, {},
-                 {"action": "activity_name", "file_path": "file.path", "hash": "file.hash_md5", "reserved": "integrity.reserved"})]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    """Raw records to events; never fails, and no source field is lost: what has no place is in ``extra``.
+
+    One pass: records are read once, and of each only the expressions of its kind are worked out.
+    """
+    direct = {
+        "network": _columns(
+            records, schema.NETWORK,
+            {"src_ip": _field("src_ip"), "dst_ip": _field("dst_ip"), "process_name": _field("process"), "process_pid": scalars.pid(_field("pid"))},
+            {"protocol": "connection.protocol", "src_port": "src_endpoint.port", "dst_port": "dst_endpoint.port"}),
+        "process": _columns(
+            records, schema.PROCESS,
+            {"user_name": _field("user"), "process_name": _field("process"), "process_pid": scalars.pid(_field("pid")), "parent_pid": scalars.pid(_field("parent_pid"))},
+            {"full_path": "process.file.path", "parent_folder": "process.parent_folder", "parent_process": "parent_process.name"}, activity=1),
+        "integrity": _columns(
+            records, schema.FILE, {},
+            {"action": "activity_name", "file_path": "file.path", "hash": "file.hash_md5", "reserved": "integrity.reserved"})}
+    df, event = _windows(records.where(col("kind").isin("event", *direct)), mappings)
+    whole = F.when(col("kind") == "event", event)
+    for kind, own in direct.items():
+        whole = whole.when(col("kind") == kind, own)
+    return df.select(F.inline(F.array(whole)))
