@@ -21,3 +21,8 @@ def test_first_and_last_of_repeated_keys(spark):
     assert [tuple(r) for r in df.collect()] == [({"a": "1", "b": "2"}, {"a": "3", "b": "2"}), ({"a": "1", "b": "2"},) * 2, ({}, {}), (None, None)]
     plan = df.select(F.col("first"))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" in plan
+
+
+def test_lines_are_parsed_by_all_cores(spark):
+    for name in ("envelope_parse", "parse_errors", "residue_map", "wire_events"):
+        assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name

@@ -347,9 +347,14 @@ def mitre_and_risk(spark, sf):
     return rules.select("rule_id", scalars.mitre_id(col("mitre")).alias("mitre_id"), scalars.alert_risk(col("severity")).alias("risk"))
 
 
+def _numbers(spark, sf) -> DataFrame:
+    """event_id of every event, dealt to all cores: a line takes long to parse for the few bytes it is made of, so the file's splits are too few."""
+    return testdata.telemetry(spark, sf).select("event_id").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+
+
 def _lines(spark, sf) -> DataFrame:
     """A log line for every event: three in four are Windows events, every fourth is broken."""
-    e = testdata.telemetry(spark, sf)
+    e = _numbers(spark, sf)
     xml = F.lit(XML)
     for mark, value in (("{0}", col("event_id") % 50), ("{1}", F.when(col("event_id") % 2 == 0, "4624").otherwise("4625")), ("{2}", col("event_id") % 30)):
         xml = F.replace(xml, lit(mark), value.cast("string"))
@@ -383,7 +388,7 @@ def residue_map(spark, sf):
 
 def _other_lines(spark, sf) -> DataFrame:
     """A line for every event in turn: a connection, a launch in full, a launch cut short, a file change."""
-    e = testdata.telemetry(spark, sf)
+    e = _numbers(spark, sf)
     n, text = col("event_id"), lambda c: c.cast("string")
     head = F.concat(lit("OPLC-acme,1782858033704,10.0.0.1 #3.1,1782858369,H"), text(n % 50), lit(",10.0.0."), text(n % 50))
     user = F.concat(lit("corp\\u"), text(n % 30))
