@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchfold import catalog, shared
-from watchfold.operators import centrality, traverse
+from watchfold.operators import centrality, components, traverse
 from watchfold.operators.traverse import Options
 
 EDGE = "src_id string, dst_id string, etype string, ts_ms long"
@@ -79,3 +79,27 @@ def test_graphs_folded_by_one_key_are_united_without_a_shuffle(spark):
     df = catalog.QUERIES["validity_merge"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "Exchange" not in plan[:plan.index("Union")]
+
+
+def _smallest(pairs):
+    label = {n: n for p in pairs for n in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+@pytest.mark.parametrize("block, dealt", [(components.BLOCK, components.DEALT), (60, 100)])
+def test_components_merge_blocks_in_few_tables(spark, written, monkeypatch, block, dealt):
+    monkeypatch.setattr(components, "BLOCK", block)
+    monkeypatch.setattr(components, "DEALT", dealt)
+    pairs = [(f"ö{i % 7}", f"n{i}") for i in range(60)] + [(f"m{i}", f"m{i + 1}") for i in range(20)] + [(f"x{i}", f"n{i}") for i in range(0, 60, 3)]
+    df = spark.createDataFrame([*pairs, *pairs, ("n1", None), (None, "n1"), ("alone", "alone")], "src string, dst string").repartition(4)
+    got = {r.node: r.component for r in components.connected_components(df).collect()}
+    assert got == _smallest(pairs)
+    if block > len(pairs):
+        assert len(written) <= 3 and not any(n.startswith("round") for n, _, _ in written)
+    numbers = [(a * 7 % 50 - 25, a * 3 % 50 - 25) for a in range(40) if a % 5]
+    got = components.connected_components(spark.createDataFrame(numbers, "src long, dst long"))
+    assert {r.node: r.component for r in got.collect()} == _smallest([p for p in numbers if p[0] != p[1]])
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0

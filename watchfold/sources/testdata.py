@@ -39,8 +39,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(lit("env.source_ip"), F.concat(lit("10.0.0."), text((col("user_id") * 3) % 16))).alias("extra"))
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers own orders, orders use parts and connect to suppliers, customers and suppliers belong to nations, nations to regions."""
+def graph_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers own orders, orders use parts and connect to suppliers, customers and suppliers belong to nations, nations to regions: a row a sighting."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = lambda mark, c: F.concat(lit(mark), col(c).cast("string"))
 
@@ -55,7 +55,12 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen(t("customer"), key("c", "c_custkey"), key("n", "c_nationkey"), "BELONGS_TO", never),
         seen(t("supplier"), key("s", "s_suppkey"), key("n", "s_nationkey"), "BELONGS_TO", never),
         seen(t("nation"), key("n", "n_nationkey"), key("r", "n_regionkey"), "BELONGS_TO", never)]
-    folded = reduce(DataFrame.unionAll, parts).groupBy("src_id", "dst_id", "etype").agg(*scalars.observed())
+    return reduce(DataFrame.unionAll, parts)
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sightings folded to an edge for each pair of nodes and type."""
+    folded = graph_sightings(spark, sf_dir).groupBy("src_id", "dst_id", "etype").agg(*scalars.observed())
     return folded.withColumn("edge_id", F.concat_ws(":", "src_id", "dst_id", "etype"))
 
 
