@@ -103,3 +103,10 @@ def test_components_merge_blocks_in_few_tables(spark, written, monkeypatch, bloc
     got = components.connected_components(spark.createDataFrame(numbers, "src long, dst long"))
     assert {r.node: r.component for r in got.collect()} == _smallest([p for p in numbers if p[0] != p[1]])
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_components_of_the_graph_do_not_fold_its_edges(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(centrality, "connected_components", lambda edges, *ends: plans.append(edges) or components.connected_components(edges, *ends))
+    assert {r["size"]: r.n for r in catalog.QUERIES["component_sizes"](spark, "/root/testdata/sf0.001").collect()} == {centrality.components(*catalog.testdata.graph(spark, "/root/testdata/sf0.001")).count(): 1}
+    assert "Aggregate" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()

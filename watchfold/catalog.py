@@ -240,7 +240,7 @@ def component_labels(spark, sf):
 
 @query
 def component_sizes(spark, sf):
-    return centrality.component_sizes(centrality.components(*testdata.graph(spark, sf))).groupBy("size").agg(F.count(lit(1)).alias("n"))
+    return centrality.component_sizes(component_labels(spark, sf)).groupBy("size").agg(F.count(lit(1)).alias("n"))
 
 
 @query
