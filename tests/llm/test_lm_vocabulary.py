@@ -76,3 +76,28 @@ def test_without_training_rows_nothing_is_known(spark):
     rows = lm.log_likelihoods(docs).collect()
     assert rows and {(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(True, 3, 0, 0)}
     assert all(r.score < 0 and r.base_score <= 0 for r in rows)
+
+
+def test_places_hold_their_list_only():
+    listed = [b"", b"the", b"a", b"fifteen-letters", b"fifteen-letters-and-more", b"\xc3\xa9t\xc3\xa9"]
+    places = lm.Places(lm._pack(listed))
+    texts = [b"The the a b fifteen-letters fifteen-letters-and-more fifteen-letterS-or-more", b"", b"x", b"\xc3\xa9t\xc3\xa9 \xff \x00\x00 ab\tzab",
+             b" ".join(b"w%d" % i for i in range(5000))]
+    place = {w: i for i, w in enumerate(listed)}
+    for text, (got, words) in zip(texts, places(texts), strict=True):
+        expected = lm.tokens(text)
+        assert got.tolist() == [place.get(w, -1 - zlib.crc32(w[-2:]) % lm.RARE) for w in expected]
+        assert words(np.arange(len(expected) - 1)) == expected[:-1]
+    assert len(places.table) == 5  # 5,000 other words were met
+
+
+def test_windows_are_scored_together(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = lm.Model(np.sort(rng.integers(1, 100, 300))[::-1].astype(float), rng.integers(1, 50, lm.RARE).astype(float))
+    docs = [rng.integers(0, model.start, n) for n in (2000, 1, 40, 33, 700)]
+    calls, outputs = [], lm.Model.outputs
+    monkeypatch.setattr(lm.Model, "outputs", lambda self, states, targets, learn: calls.append(len(targets)) or outputs(self, states, targets, learn))
+    together = lm.score(model, docs)
+    assert calls == [2774]
+    monkeypatch.setattr(lm, "TOGETHER", 1)
+    assert np.allclose(together, lm.score(model, docs), rtol=1e-6) and len(calls) == 1 + 63

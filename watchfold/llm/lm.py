@@ -30,7 +30,7 @@ from __future__ import annotations
 import copy
 import zlib
 from collections import Counter
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,8 @@ TRAINER_TOKENS, TRAINERS = 4_000_000, (8, 4096)
 #: Distinct words that a counting or looking task holds, and documents that are scored side by side.
 DISTINCT = 700_000
 SCORED = 2048
+#: Tokens whose outputs are taken together where nothing is learned.
+TOGETHER = 32_768
 #: The end of a document; no word is empty.
 END = b""
 
@@ -98,86 +100,114 @@ class Model:
             self.w[n] = flat[at:at + size].astype(np.float32).reshape(self.w[n].shape)
             at += size
 
-    def steps(self, tokens: np.ndarray, active: np.ndarray, before: np.ndarray, h: np.ndarray, keep: bool):
-        """States after each step of a window; tokens: (steps, lanes); active: lanes at each step, falling."""
-        x, u, hid = self.w["x"], self.w["u"], HIDDEN
+    def steps(self, tokens: np.ndarray, active: list[int], before: np.ndarray, h: np.ndarray, keep: bool):
+        """States after each step of a window; tokens: (steps, lanes); active: lanes at each step, falling.
+
+        A step's arrays hold a unit's values of all lanes in a row, so that numpy's inner loops are long.
+        """
+        x, hid = self.w["x"], HIDDEN
+        u = np.ascontiguousarray(self.w["u"].T)
+        u[:2 * hid] *= -1  # what the exponentials of the two gates take
+        h = h.T
         states, kept = [], []
         for t, n in enumerate(active):
-            inputs = before[:n] if t == 0 else tokens[t - 1, :n]
-            old = h[:n]
-            g, s = x.take(inputs, axis=0), old @ u
-            rz = g[:, :2 * hid] + s[:, :2 * hid]
-            np.exp(np.negative(rz, out=rz), out=rz)
+            inputs, old = before[:n] if t == 0 else tokens[t - 1, :n], h[:, :n]
+            g, s = np.ascontiguousarray(x.take(inputs, axis=0).T), u @ old
+            rz, past, new = s[:2 * hid], s[2 * hid:], g[2 * hid:]
+            rz -= g[:2 * hid]
+            np.exp(rz, out=rz)
             rz += 1
             np.reciprocal(rz, out=rz)
-            r, z = rz[:, :hid], rz[:, hid:]
-            new = r * s[:, 2 * hid:]
-            new += g[:, 2 * hid:]
+            r, z = rz[:hid], rz[hid:]
+            past *= r
+            new += past
             np.tanh(new, out=new)
-            out = old - new
-            out *= z
-            out += new
+            change = old - new
+            h = change * z
+            h += new
             if keep:
-                kept.append((inputs, old, r, z, new, s[:, 2 * hid:]))
-            states.append(out)
-            h = out
+                kept.append((inputs, old, r, z, new, past, change))
+            states.append(h.T)
         return states, kept
 
     def outputs(self, states: list[np.ndarray], targets: np.ndarray, learn: bool):
         """Log-probabilities of the targets; with ``learn`` also the gradients of minus their sum."""
         classes, words, own = _bounded(self.w["classes"], 0), _bounded(self.w["words"], 1), self.class_of[targets]
-        states = _with_one(states)
-        logp = np.empty(len(targets), states.dtype)
+        # All is done in the order of the classes, so that a class is a slice.
+        order = np.argsort(own.astype(np.int16), kind="stable")
+        own, targets = own[order], targets[order]
+        states = _with_one(states).take(order, axis=0)
+        logp, total = np.empty(len(targets), states.dtype), np.empty(len(targets), states.dtype)
+        ones = np.ones(max(classes.shape[1], np.diff(self.low).max(initial=0)), states.dtype)
         if learn:
-            grads = {"classes": np.zeros_like(classes), "words": np.zeros_like(words)}
-            d_states = np.empty((len(targets), HIDDEN), states.dtype)
+            by_unit, d_states = np.ascontiguousarray(states.T), np.empty((len(targets), HIDDEN), states.dtype)
+            d_classes, d_words, d_in_class = np.zeros_like(classes.T, order="C"), np.zeros_like(words), np.zeros_like(d_states)
         for a in range(0, len(targets), ROWS):
-            some, mine = states[a:a + ROWS], own[a:a + ROWS]
-            logits = some @ classes
-            logp[a:a + ROWS], total, at = _softmax(logits, mine)
+            at = slice(a, a + ROWS)
+            logits, sums = states[at] @ classes, total[at]
+            flat, mine = logits.reshape(-1), np.arange(0, logits.size, logits.shape[1]) + own[at]
+            logp[at] = flat[mine]
+            np.exp(logits, out=logits)
+            np.dot(logits, ones[:logits.shape[1]], out=sums)
             if learn:
                 # The narrow factor is divided by the sums, not the wide one.
-                logits.ravel()[at] -= total
-                total = total[:, None]
-                grads["classes"] += (some / total).T @ logits
-                d_states[a:a + ROWS] = (logits @ classes[:-1].T) / total
-        order = np.argsort(own.astype(np.int16), kind="stable")
-        cut = np.searchsorted(own[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cut[c]:cut[c + 1]]
-            low, high = self.low[c], self.low[c + 1]
-            if not len(rows) or high - low == 1:
-                continue
-            some, mine = states.take(rows, axis=0), words[low:high]
-            logits = some @ mine.T
-            picked, total, at = _softmax(logits, targets[rows] - low)
-            logp[rows] += picked
+                flat[mine] -= sums
+                d_classes += logits.T @ (by_unit[:, at] / sums).T
+                np.divide(logits @ classes[:-1].T, sums[:, None], out=d_states[at])
+        logp -= np.log(total)
+        cut = np.searchsorted(own, np.arange(self.classes + 1))
+        n, size, low = int(cut[-1]), np.diff(self.low), self.low.tolist()
+        total[:] = 1
+        # Where each target lies in the logits of its class; classes of one word add nothing.
+        place = (np.arange(n) - cut[own[:n]]) * size[own[:n]] + targets[:n] - self.low[own[:n]]
+        logp[:n] += np.where(size[own[:n]] > 1, np.einsum("ij,ij->i", states[:n], words.take(targets[:n], axis=0)), 0)
+        cuts = cut.tolist()
+        for c in np.flatnonzero((np.diff(cut) > 0) & (size > 1)).tolist():
+            a, b = cuts[c], cuts[c + 1]
+            some, mine, sums = states[a:b], words[low[c]:low[c + 1]], total[a:b]
+            logits = np.dot(some, mine.T)
+            np.exp(logits, out=logits)
+            np.dot(logits, ones[:len(mine)], out=sums)
             if learn:
-                logits.ravel()[at] -= total
-                total = total[:, None]
-                grads["words"][low:high] = logits.T @ (some / total)
-                d_states[rows] += (logits @ mine[:, :-1]) / total
-        return (logp, d_states, grads) if learn else logp
+                logits.reshape(-1)[place[a:b]] -= sums
+                logits /= sums[:, None]
+                np.dot(logits.T, some, out=d_words[low[c]:low[c + 1]])
+                np.dot(logits, mine[:, :-1], out=d_in_class[a:b])
+        logp -= np.log(total)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        if not learn:
+            return logp[back]
+        d_states += d_in_class
+        return logp[back], d_states.take(back, axis=0), {"classes": np.ascontiguousarray(d_classes.T), "words": d_words}
 
     def backward(self, kept: list, d_states: list[np.ndarray], grads: dict) -> None:
         """Truncated backpropagation: gradients of the gates' weights from those of each step's state."""
-        hid, d_u, inputs, gates = HIDDEN, np.zeros_like(self.w["u"]), [], []
+        hid, u, end = HIDDEN, self.w["u"], sum(map(len, d_states))
+        d_u, gates = np.zeros_like(u.T, order="C"), np.empty((end, 3 * hid), u.dtype)
         d_next = None
-        for (tokens, old, r, z, new, s), d in zip(reversed(kept), reversed(d_states)):
+        for (_, old, r, z, new, past, change), d in zip(reversed(kept), reversed(d_states)):
+            d, d_s = d.T.copy(), np.empty((3 * hid, len(d)), u.dtype)
             if d_next is not None:
-                d[:len(d_next)] += d_next
-            d_new = d * (1 - z) * (1 - new * new)
-            d_g = np.empty((len(d), 3 * hid), np.float32)
-            d_g[:, :hid] = d_new * s * r * (1 - r)
-            d_g[:, hid:2 * hid] = d * (old - new) * z * (1 - z)
-            d_g[:, 2 * hid:] = d_new
-            inputs.append(tokens)
-            gates.append(d_g)
-            d_s = d_g.copy()
-            d_s[:, 2 * hid:] *= r
-            d_u += old.T @ d_s
-            d_next = d * z + d_s @ self.w["u"].T
-        grads["u"], grads["x"] = d_u, (np.concatenate(inputs), np.concatenate(gates))
+                d[:, :d_next.shape[1]] += d_next
+            d_r, d_z, d_past = d_s[:hid], d_s[hid:2 * hid], d_s[2 * hid:]
+            stays = d * z
+            d -= stays
+            np.multiply(change, d, out=d_z)
+            d_z *= z
+            np.multiply(new, new, out=d_r)
+            d_r *= d
+            d -= d_r  # of what tanh takes
+            np.multiply(d, r, out=d_past)
+            np.subtract(d, d_past, out=d_r)
+            d_r *= past
+            at = slice(end - d.shape[1], end)
+            gates[at, :2 * hid], gates[at, 2 * hid:] = d_s[:2 * hid].T, d.T
+            end = at.start
+            d_u += d_s @ old.T
+            d_next = u @ d_s
+            d_next += stays
+        grads["u"], grads["x"] = d_u.T.copy(), (np.concatenate([k[0] for k in kept]), gates)
 
 
 def _with_one(states: list[np.ndarray]) -> np.ndarray:
@@ -189,19 +219,11 @@ def _with_one(states: list[np.ndarray]) -> np.ndarray:
 
 def _bounded(weights: np.ndarray, axis: int) -> np.ndarray:
     """The weights, those of logits that could pass 60 scaled down to it: a state is within 1, so no exponential overflows."""
-    most = np.abs(weights).sum(axis=axis, keepdims=True)
+    most, ones = np.abs(weights), np.ones(weights.shape[axis], weights.dtype)
+    most = (most @ ones)[:, None] if axis else (ones @ most)[None]
     return weights if most.max(initial=0) <= 60 else weights * np.minimum(1, 60 / most, dtype=weights.dtype)
 
 
-def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probabilities of each row's own column; ``logits`` become their exponentials.  Also those' sums, and where the own columns are in a row."""
-    at = np.arange(0, logits.size, logits.shape[1]) + own
-    picked = logits.ravel().take(at)
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], logits.dtype)
-    return picked - np.log(total), total, at
-
-
 class Trainer:
     """Adagrad over windows of side-by-side documents, the longest first."""
 
@@ -221,7 +243,8 @@ class Trainer:
             states, kept = model.steps(tokens, active, before, h, keep=True)
             targets = np.concatenate([tokens[t, :n] for t, n in enumerate(active)])
             _, d, grads = model.outputs(states, targets, learn=True)
-            model.backward(kept, np.split(d, np.cumsum(active)[:-1]), grads)
+            ends = np.cumsum(active).tolist()
+            model.backward(kept, [d[end - n:end] for n, end in zip(active, ends)], grads)
             self._update(grads, len(targets))
             n = active[-1]
             h, before = states[-1], tokens[len(active) - 1, :n]
@@ -234,13 +257,21 @@ class Trainer:
         rows = rows[order]
         first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         rows = rows[first]
-        g = np.add.reduceat(gates.take(order, axis=0), first, axis=0) * scale
-        self.seen["x"][rows] += g * g
-        self.model.w["x"][rows] -= self.rate * g / np.sqrt(self.seen["x"][rows])
+        g = np.add.reduceat(gates.take(order, axis=0), first, axis=0)
+        g *= scale
+        square = g * g
+        square += self.seen["x"].take(rows, axis=0)
+        self.seen["x"][rows] = square
+        g *= self.rate
+        g /= np.sqrt(square, out=square)
+        self.model.w["x"][rows] -= g
         for name, g in grads.items():
-            g = g * scale
-            self.seen[name] += g * g
-            self.model.w[name] -= self.rate * g / np.sqrt(self.seen[name])
+            g *= scale
+            square = g * g
+            self.seen[name] += square
+            g *= self.rate
+            g /= np.sqrt(self.seen[name], out=square)
+            self.model.w[name] -= g
 
 
 def _windows(docs: list[np.ndarray]):
@@ -263,13 +294,25 @@ def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
         own = by[at:at + SCORED]
         group = [docs[i] for i in own]
         total, h, before = np.zeros(len(group)), np.zeros((len(group), HIDDEN), np.float32), np.full(len(group), model.start)
+        held, n = [], 0
+
+        def add() -> None:
+            """What the windows held so far give; nothing is learned in between, so their outputs can be taken together."""
+            states, targets, lanes = (sum(own, []) for own in zip(*held))
+            logp = model.outputs(states, np.concatenate(targets), learn=False)
+            total[:] += np.bincount(np.concatenate(lanes), logp, len(group))
+            held.clear()
+
         for tokens, active in _windows(group):
             states, _ = model.steps(tokens, active, before, h, keep=False)
-            targets = np.concatenate([tokens[t, :n] for t, n in enumerate(active)])
-            lanes = np.concatenate([np.arange(n) for n in active])
-            logp = model.outputs(states, targets, learn=False)
-            total += np.bincount(lanes, logp, len(group))
+            held.append((states, [tokens[t, :n] for t, n in enumerate(active)], [np.arange(n) for n in active]))
+            n += sum(active)
+            if n >= TOGETHER:
+                add()
+                n = 0
             h, before = states[-1], tokens[len(active) - 1, :active[-1]]
+        if held:
+            add()
         out[own] = total
     return out
 
@@ -316,26 +359,41 @@ def _count(batches):
         yield batch()
 
 
+@cache
+def _rare_by_end() -> tuple[np.ndarray, np.ndarray]:
+    """Minus one, less the rare class, of words by their only byte and by their last two bytes."""
+    one, two = [bytes([a]) for a in range(256)], [bytes([a, b]) for a in range(256) for b in range(256)]
+    return tuple(np.array([-1 - zlib.crc32(w) % RARE for w in ends], np.int32) for ends in (one, two))
+
+
 class Places:
-    """Words to their places in a packed list; of other words minus one, less their rare class."""
+    """Words to their places in a packed list; of other words minus one, less their rare class.
 
-    def __init__(self, packed: bytes):
-        self.of = {w: i for i, w in enumerate(zlib.decompress(packed).split(b"\n")[:-1])}
-        self.end = self._new([END])[0]
-        self.table = WordTable(self._new)
+    The list alone is held, so memory doesn't grow with the words that are met.
+    """
 
-    def _new(self, words: list[bytes]) -> np.ndarray:
-        get = self.of.get
-        return np.array([at if (at := get(w)) is not None else -1 - zlib.crc32(w[-2:]) % RARE for w in words], np.int32)
+    def __init__(self, packed: bytes):
+        words = zlib.decompress(packed).split(b"\n")[:-1]
+        of = {w: i for i, w in enumerate(words)}
+        self.end = np.int32(of.get(END, -1 - zlib.crc32(END) % RARE))
+        self.table = WordTable(lambda new: np.array([of[w] for w in new], np.int32))
+        raw, start, end, _ = space_words([b" ".join(words)])
+        self.table.add(raw, start, end, np.array([i for i, w in enumerate(words) if w != END], np.int32))
+
+    def _places(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        places = self.table.find(raw, start, end)
+        one, two = _rare_by_end()
+        other = np.flatnonzero(places == self.table.UNKNOWN)
+        last, length = end[other], end[other] - start[other]
+        places[other] = np.where(length > 1, two.take(raw.take(last - 2).astype(np.int32) << 8 | raw.take(last - 1), mode="clip"), one.take(raw.take(last - 1)))
+        return places
 
     def __call__(self, texts: list[bytes]):
         """For every text: the places of its words and its end, and a function from positions of words to the words."""
         for block in in_blocks(texts):
-            if len(self.table) > DISTINCT:
-                self.table.clear()
             raw, start, end, count = space_words(block)
             cut = np.cumsum(count)
-            places, kept = np.split(self.table(raw, start, end), cut[:-1]), raw.tobytes()
+            places, kept = np.split(self._places(raw, start, end), cut[:-1]), raw.tobytes()
             for own, last, n in zip(places, cut.tolist(), count.tolist()):
                 first = last - n
                 yield np.append(own, self.end), lambda at, first=first: [

@@ -141,9 +141,26 @@ class WordTable:
             rest = rest[~won]
             slot[rest] = (slot[rest] + 1) & (1 << self.bits) - 1
 
-    def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Numbers of the words raw[start:end]; PAD bytes follow the last."""
+    def _add(self, keys: np.ndarray, number: np.ndarray) -> None:
+        if 2 * (self.n + len(keys)) > len(self.number):  # half of the table stays free
+            old = np.flatnonzero(self.keys[:, 1])
+            old_keys, old_number = self.keys[old], self.number[old]
+            while 2 * (self.n + len(keys)) > 1 << self.bits:
+                self.bits += 1
+            self._empty()
+            self._insert(old_keys, old_number)
+        self._insert(keys, number)
+        self.n += len(keys)
+
+    def add(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, number: np.ndarray) -> None:
+        """Distinct words raw[start:end] that weren't met before, and their numbers; PAD bytes follow the last."""
         length = end - start
+        short = length <= 15
+        self._add(self._keys(raw, start, length)[short], number[short])
+        for i in np.flatnonzero(~short).tolist():
+            self.long[raw[start[i]:end[i]].tobytes()] = int(number[i])
+
+    def _keys(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         short = np.minimum(length, 15)
         # The 64 bits that start at each byte; a buffer may be read at any byte.
         words = np.ndarray(len(raw) - 15, "<u8", raw, strides=(1,)), np.ndarray(len(raw) - 15, "<u8", raw, 8, strides=(1,))
@@ -151,6 +168,20 @@ class WordTable:
         for i in range(2):
             np.bitwise_and(words[i].take(start), self.mask[i].take(short), out=keys[:, i])
         keys[:, 1] |= short.astype(np.uint64) << np.uint64(56)
+        return keys
+
+    def find(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the words raw[start:end], UNKNOWN for those not met before; PAD bytes follow the last."""
+        length = end - start
+        number = self._find(self._keys(raw, start, length))
+        for i in np.flatnonzero(length > 15).tolist():
+            number[i] = self.long.get(raw[start[i]:end[i]].tobytes(), self.UNKNOWN)
+        return number
+
+    def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the words raw[start:end]; PAD bytes follow the last."""
+        length = end - start
+        keys = self._keys(raw, start, length)
         number = self._find(keys)
         over = np.flatnonzero(length > 15)
         if len(over):
@@ -164,15 +195,7 @@ class WordTable:
             one, inverse = np.unique(keys[missing].view("V16").ravel(), return_index=True, return_inverse=True)[1:]
             lowered, at = raw.tobytes(), missing[one]
             new = self.new([lowered[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
-            if 2 * (self.n + len(new)) > len(self.number):  # half of the table stays free
-                old = np.flatnonzero(self.keys[:, 1])
-                old_keys, old_number = self.keys[old], self.number[old]
-                while 2 * (self.n + len(new)) > 1 << self.bits:
-                    self.bits += 1
-                self._empty()
-                self._insert(old_keys, old_number)
-            self._insert(keys[at], new)
-            self.n += len(new)
+            self._add(keys[at], new)
             number[missing] = new[inverse.ravel()]
         return number
 
